@@ -264,37 +264,64 @@ def _verify(width: int, num: int):
     return run
 
 
+def _one_tile(num: int, most_each: int, t, u: int, w: int, node, label, n, sketch) -> tuple[np.ndarray, bool]:
+    """Pairs of one tile across components that the sketches let pass, the nearest ``most_each`` for each node and component, and whether more are left."""
+    size = min(map(len, sketch))
+    bits = np.stack([_fold(np.frombuffer(s, np.uint8), size) for s in sketch]).view(_U)
+    left, right = np.flatnonzero(t == u), np.flatnonzero(t == w)
+    out, held = [], False
+    step = max(1, (1 << 21) // max(1, len(right) * bits.shape[1]))
+    for at in range(0, len(left), step):
+        i = left[at : at + step]
+        d = np.bitwise_count(bits[i][:, None] ^ bits[right][None]).sum(2, dtype=np.int64)
+        a, b = n[i][:, None], n[right][None]
+        ok = (d <= _diff(a + b, num)) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * num) & (label[i][:, None] != label[right][None])
+        p, q = np.nonzero(ok)
+        if not len(p):
+            continue
+        order = np.lexsort((d[p, q], label[right[q]], p))
+        p, q = p[order], q[order]
+        s, m = _runs((p << 40) ^ np.unique(label[right[q]], return_inverse=True)[1])
+        rank = np.arange(len(p)) - np.repeat(s, m)
+        held |= bool((rank >= most_each).any())
+        near = rank < most_each
+        x, y = node[i[p[near]]], node[right[q[near]]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64), held
+
+
 def _tile_pairs(num: int, most_each: int):
-    """Pairs of a tile across components that the sketches let pass; x = -1 tells that some were held back."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf.t == pdf.u] if (pdf.u == pdf.w).all() else pdf[pdf.t == pdf.u]
-        right = pdf[pdf.t == pdf.w]
-        size = min(map(len, pdf.sketch))
-        fold = lambda q: np.stack([_fold(np.frombuffer(s, np.uint8), size) for s in q]).view(_U)
-        ls, rs = fold(left.sketch), fold(right.sketch)
-        ln, rn = left.n.to_numpy(), right.n.to_numpy()
-        lc, rc = left.label.to_numpy(), right.label.to_numpy()
-        lid, rid = left.node.to_numpy(), right.node.to_numpy()
-        out, held = [], 0
-        for i in range(len(left)):
-            ok = (rc != lc[i]) & (np.minimum(rn, ln[i]) * 100 >= np.maximum(rn, ln[i]) * num)
-            j = np.flatnonzero(ok)
-            if not len(j):
+    """Over rows sorted by (run, u, w): pairs (x, y) of every tile, and (null, run) where a tile holds pairs back."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        col = {c: table.column(c).to_numpy() for c in ("run", "t", "u", "w", "node", "label", "n")}
+        sketch = table.column("sketch").to_pylist()
+        new = np.flatnonzero(np.concatenate([[True], (col["run"][1:] != col["run"][:-1]) | (col["u"][1:] != col["u"][:-1]) | (col["w"][1:] != col["w"][:-1])]))
+        pairs, held = [], []
+        for s, e in zip(new, [*new[1:], len(sketch)], strict=True):
+            got, more = _one_tile(num, most_each, col["t"][s:e], col["u"][s], col["w"][s], col["node"][s:e], col["label"][s:e], col["n"][s:e], sketch[s:e])
+            pairs.append(got)
+            held += [col["run"][s]] * more
+        xy = np.unique(np.concatenate(pairs), axis=0)
+        runs = np.unique(np.array(held, np.int64))
+        x = pa.array(np.concatenate([xy[:, 0], np.zeros(len(runs), np.int64)]), mask=np.arange(len(xy) + len(runs)) >= len(xy))
+        return pa.RecordBatch.from_arrays([x, pa.array(np.concatenate([xy[:, 1], runs]))], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            d = np.bitwise_count(rs[j] ^ ls[i]).sum(1)
-            ok = d <= _diff(rn[j] + ln[i], num)
-            j, d = j[ok], d[ok]
-            order = np.lexsort((d, rc[j]))
-            j = j[order]
-            s, m = _runs(rc[j])
-            rank = np.arange(len(j)) - np.repeat(s, m)
-            held += int((rank >= most_each).sum())
-            out += [(min(lid[i], q), max(lid[i], q)) for q in rid[j[rank < most_each]]]
-        if held:
-            out.append((-1, held))
-        return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            r, u, w = (table.column(c).to_numpy() for c in ("run", "u", "w"))
+            last = np.flatnonzero((r != r[-1]) | (u != u[-1]) | (w != w[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield done(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield done(rest)
 
     return run
 
@@ -358,7 +385,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     shape = members.groupBy("run").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("total"))
     alone = shape.groupBy("m", "total").agg(F.min("run").alias("run"))
     members = scratch.table(members.join(alone.select("run", "m"), "run"), "members")
-    step, each = 0, 8
+    step, each = 0, 2
     while True:
         step += 1
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -369,19 +396,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
             .select("run", "node", "label", "n", "t", F.least("t", "o").alias("u"), F.greatest("t", "o").alias("w"))
             .join(sets.select(F.col("doc_id").alias("node"), "sketch"), "node")
+            .repartition("run", "u", "w").sortWithinPartitions("run", "u", "w")
         )
-        got = scratch.table(tile.groupBy("run", "u", "w").applyInPandas(_tile_pairs(percent, each), "x long, y long").groupBy("x", "y").count(), f"tiles-{step}")
-        held = not got.filter("x < 0").isEmpty()
-        fresh = scratch.table(got.filter("x >= 0").select("x", "y").join(tried, ["x", "y"], "left_anti"), f"tried-{step}")
-        if fresh.isEmpty():
-            if not held:
-                break
-        else:
-            tried = tried.union(fresh)
-            new = scratch.table(check(fresh), f"links-{step}")
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = connected_labels(scratch, links, f"cc-{step}")
+        got = scratch.table(tile.mapInArrow(_tile_pairs(percent, each), "x long, y long").distinct(), f"tiles-{step}")
+        fresh = scratch.table(got.filter("x is not null").join(tried, ["x", "y"], "left_anti"), f"tried-{step}")
+        new = scratch.table(check(fresh), f"links-{step}")
+        tried = tried.union(fresh)
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = connected_labels(scratch, links, f"cc-{step}")
+        held = got.filter("x is null").select(F.col("y").alias("run"))
+        if held.isEmpty():
+            break  # every pair across components that the sketches let pass has been verified
+        members = scratch.table(members.join(held, "run", "left_semi"), f"members-{step}")
         each *= 8
     degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     final = nodes.join(labels, "node", "left").join(degree, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("c"), "n_links")
