@@ -265,11 +265,11 @@ def _verify(width: int, num: int):
 
 
 def _one_tile(num: int, most_each: int, t, u: int, w: int, node, label, n, sketch) -> tuple[np.ndarray, bool]:
-    """Pairs of one tile across components that the sketches let pass, the nearest ``most_each`` for each node and component, and whether more are left."""
+    """Pairs of one tile across components that the sketches let pass, the nearest ``most_each`` of each component, and whether more are left."""
     size = min(map(len, sketch))
     bits = np.stack([_fold(np.frombuffer(s, np.uint8), size) for s in sketch]).view(_U)
     left, right = np.flatnonzero(t == u), np.flatnonzero(t == w)
-    out, held = [], False
+    found = []
     step = max(1, (1 << 21) // max(1, len(right) * bits.shape[1]))
     for at in range(0, len(left), step):
         i = left[at : at + step]
@@ -277,38 +277,42 @@ def _one_tile(num: int, most_each: int, t, u: int, w: int, node, label, n, sketc
         a, b = n[i][:, None], n[right][None]
         ok = (d <= _diff(a + b, num)) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * num) & (label[i][:, None] != label[right][None])
         p, q = np.nonzero(ok)
-        if not len(p):
-            continue
-        order = np.lexsort((d[p, q], label[right[q]], p))
-        p, q = p[order], q[order]
-        s, m = _runs((p << 40) ^ np.unique(label[right[q]], return_inverse=True)[1])
-        rank = np.arange(len(p)) - np.repeat(s, m)
-        held |= bool((rank >= most_each).any())
-        near = rank < most_each
-        x, y = node[i[p[near]]], node[right[q[near]]]
-        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64), held
+        if len(p):
+            found.append(np.stack([i[p], right[q], d[p, q]], 1))
+    if not found:
+        return np.zeros((0, 2), np.int64), False
+    p, q, d = np.concatenate(found).T
+    near = np.zeros(len(p), bool)
+    for side in (p, q):
+        order = np.lexsort((d, label[side]))
+        s, m = _runs(label[side][order])
+        near[order[np.arange(len(p)) - np.repeat(s, m) < most_each]] = True
+    x, y = node[p[near]], node[q[near]]
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0), bool(len(near) > near.sum())
 
 
 def _tile_pairs(num: int, most_each: int):
     """Over rows sorted by (run, u, w): pairs (x, y) of every tile, and (null, run) where a tile holds pairs back."""
 
-    def done(table: pa.Table) -> pa.RecordBatch:
+    def done(table: pa.Table, pairs: list, held: list) -> None:
         col = {c: table.column(c).to_numpy() for c in ("run", "t", "u", "w", "node", "label", "n")}
         sketch = table.column("sketch").to_pylist()
         new = np.flatnonzero(np.concatenate([[True], (col["run"][1:] != col["run"][:-1]) | (col["u"][1:] != col["u"][:-1]) | (col["w"][1:] != col["w"][:-1])]))
-        pairs, held = [], []
         for s, e in zip(new, [*new[1:], len(sketch)], strict=True):
             got, more = _one_tile(num, most_each, col["t"][s:e], col["u"][s], col["w"][s], col["node"][s:e], col["label"][s:e], col["n"][s:e], sketch[s:e])
-            pairs.append(got)
-            held += [col["run"][s]] * more
-        xy = np.unique(np.concatenate(pairs), axis=0)
+            if len(got):
+                pairs.append(got)
+            if more:
+                held.append(col["run"][s])
+
+    def told(pairs: list, held: list) -> pa.RecordBatch:
+        xy = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
         runs = np.unique(np.array(held, np.int64))
         x = pa.array(np.concatenate([xy[:, 0], np.zeros(len(runs), np.int64)]), mask=np.arange(len(xy) + len(runs)) >= len(xy))
         return pa.RecordBatch.from_arrays([x, pa.array(np.concatenate([xy[:, 1], runs]))], names=["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, pairs, held = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -318,10 +322,14 @@ def _tile_pairs(num: int, most_each: int):
             last = np.flatnonzero((r != r[-1]) | (u != u[-1]) | (w != w[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield done(table.slice(0, cut))
+                done(table.slice(0, cut), pairs, held)
             rest = table.slice(cut)
+            if sum(map(len, pairs)) > 1 << 20:
+                yield told(pairs, held)
+                pairs, held = [], []
         if rest is not None and rest.num_rows:
-            yield done(rest)
+            done(rest, pairs, held)
+        yield told(pairs, held)
 
     return run
 
