@@ -1,12 +1,470 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the star-schema tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import functions as V
+from .operators import accounting, evidence, keyed, ledger_views, rates
+from .plans import report
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None):
+    """Registers a query under a name, with its SQL for comparison."""
+
+    def keep(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+MS = "CAST(epoch_us(ts) // 1000 AS BIGINT)"
+
+
+def ms(column: str = "ts"):
+    return F.unix_millis(F.col(column).cast("timestamp"))
+
+
+def journal_of(t: Tables) -> DataFrame:
+    """The journal of events: a key for each user, revisions in event order."""
+    return t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("revision"), F.col("event_id").alias("sequence"), F.col("event_type").alias("content"))
+
+
+def results_of(t: Tables) -> DataFrame:
+    """Orders as results: the customer is the subject, the order key the publication."""
+    return t.orders.select(
+        F.col("o_orderkey").alias("result_id"), F.col("o_orderpriority").alias("environment"), F.col("o_custkey").alias("subject"),
+        F.col("o_orderkey").alias("publication"), F.col("o_totalprice").alias("payload"),
+    )
+
+
+def promotions_of(t: Tables) -> DataFrame:
+    return t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("result_id")).distinct()
+
+
+def members_of(t: Tables, least: int = 9) -> DataFrame:
+    """Customers as members with gate and status: an order with a high total fails one, an open one leaves it pending."""
+    n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    rows = t.customer.join(n, "c_custkey", "left")
+    status = F.when(~(F.col("n") >= least), "skipped").when(F.col("n").isNull(), "failed").otherwise("succeeded")
+    return rows.select(F.col("c_custkey").alias("key"), "c_nationkey", "n", "total", status.alias("status"))
+
+
+# -- keyed dataflow ---------------------------------------------------------------------------
+FOLD_SQL = """
+WITH n AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS largest FROM orders GROUP BY o_custkey)
+SELECT c_nationkey, count(*) AS members, sum(n)::BIGINT AS orders, round(sum(total), 2) AS total, max(largest) AS largest
+FROM customer JOIN n ON o_custkey = c_custkey WHERE n >= 5 GROUP BY c_nationkey"""
+
+
+@query("fold_strict_nation", FOLD_SQL)
+def fold_strict_nation(t: Tables) -> DataFrame:
+    counted = report.with_counts(t.customer, t.orders)
+    members = keyed.keyed(counted, F.col("c_custkey")).withColumn("_gate", keyed.gate_status(F.col("authored") >= report.LEAST_ORDERS))
+    work = t.orders.select(F.col("o_custkey").cast("string").alias("key"), "o_totalprice")
+    done = report.summarise(members.filter("_gate = 'required'").select("key", "c_nationkey"), work).withColumn("status", F.lit("succeeded"))
+    state, out = keyed.strict_fold(done, report.per_nation)
+    if out is None:
+        raise RuntimeError(f"the fold is {state.state}")
+    return out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The contribution report through the engine: retained, keyed, gated, folded."""
+    import tempfile
+
+    from .plans.workspace import Workspace
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    fold = report.contribution(report.read(spark, sf_dir, "customer"), report.read(spark, sf_dir, "orders"))
+    work = Workspace(spark, f"{base}/flagship-{sf_dir.strip('/').replace('/', '_')}", "contribution", fold)
+    with work.run() as run:
+        return run.resolve(fold).data
+
+
+QUERIES["flagship_report"] = flagship
+ORACLE_SQL["flagship_report"] = FOLD_SQL
+
+
+@query("gate_status_members", """
+SELECT c_custkey AS key, CASE WHEN g THEN 'required' WHEN NOT g THEN 'skipped' ELSE 'failed' END AS gate FROM (
+  SELECT c_custkey, n >= 9 AS g FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey)""")
+def gate_status_members(t):
+    n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return t.customer.join(n, "c_custkey", "left").select(F.col("c_custkey").alias("key"), keyed.gate_status(F.col("n") >= 9).alias("gate"))
+
+
+MEMBERS_SQL = """
+members AS (SELECT c_custkey AS key, c_nationkey, n, total, CASE WHEN NOT (n >= 9) THEN 'skipped' WHEN n IS NULL THEN 'failed' ELSE 'succeeded' END AS status
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
+
+
+@query("outcome_fold_status", f"WITH {MEMBERS_SQL} SELECT status, count(*) AS n, round(coalesce(sum(CASE WHEN status = 'succeeded' THEN total END), 0), 2) AS total FROM members GROUP BY status")
+def outcome_fold_status(t):
+    body = lambda m: m.groupBy("status").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("total"), F.lit(0.0)), 2).alias("total"))
+    return keyed.outcome_fold(members_of(t), body)[1]
+
+
+@query("status_lists", f"WITH {MEMBERS_SQL} SELECT status, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM members GROUP BY status")
+def status_lists(t):
+    return keyed.status_lists(members_of(t))
+
+
+@query("keying_duplicates", "SELECT 'duplicate-key' AS reason, user_id::VARCHAR AS key, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+def keying_duplicates(t):
+    return keyed.key_failures(t.events, F.col("user_id"))
+
+
+BAD_KEYS = "CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 50 = 1 THEN '' WHEN p_partkey % 50 = 2 THEN 'twice' ELSE p_partkey::VARCHAR END"
+
+
+@query("keying_first_failure", f"""
+WITH k AS (SELECT {BAD_KEYS} AS key FROM part), g AS (SELECT key, count(*) AS n FROM k GROUP BY key)
+SELECT CASE WHEN key IS NULL THEN 'missing-key' WHEN key = '' THEN 'empty-key' ELSE 'duplicate-key' END AS reason, key, n
+FROM g WHERE key IS NULL OR key = '' OR n > 1 ORDER BY CASE WHEN key IS NULL THEN 3 WHEN key = '' THEN 5 ELSE 6 END, key LIMIT 1""")
+def keying_first_failure(t):
+    k = F.col("p_partkey") % 50
+    key = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, "").when(k == 2, "twice").otherwise(F.col("p_partkey").cast("string"))
+    return keyed.first_failure(keyed.key_failures(t.part, key))
+
+
+# -- ledger reads -----------------------------------------------------------------------------
+@query("candidates_union", """
+SELECT result_id, environment, subject, publication FROM (
+  SELECT o_orderkey AS result_id, o_orderpriority AS environment, o_custkey AS subject, o_orderkey AS publication FROM orders)
+WHERE subject % 10 = 3 AND (environment = '1-URGENT' OR result_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))""")
+def candidates_union(t):
+    return ledger_views.candidates(ledger_views.envelope(results_of(t)), promotions_of(t), F.col("environment") == "1-URGENT", F.col("subject") % 10 == 3)
+
+
+@query("current_pointer", "SELECT environment, subject, arg_max(result_id, publication) AS result_id, max(publication) AS publication FROM (SELECT o_orderkey AS result_id, o_orderpriority AS environment, o_custkey AS subject, o_orderkey AS publication FROM orders) GROUP BY 1, 2")
+def current_pointer(t):
+    return ledger_views.current(results_of(t), ["environment", "subject"])
+
+
+@query("dependencies_dangling", """
+SELECT l_orderkey AS attempt_id, l_linenumber AS position, l_partkey AS dependency_id, p_partkey IS NOT NULL AS present, (l_linenumber - 1 = row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1) AS contiguous
+FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) ON p_partkey = l_partkey WHERE l_returnflag = 'A'""")
+def dependencies_dangling(t):
+    deps = t.lineitem.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("attempt_id"), (F.col("l_linenumber") - 1).alias("position"), F.col("l_partkey").alias("dependency_id"))
+    out = ledger_views.dependencies(deps, t.part.filter("p_size > 10").select(F.col("p_partkey").alias("result_id")))
+    return out.withColumn("position", F.col("position") + 1)
+
+
+@query("promotion_visibility", "SELECT o_orderkey AS result_id, o_custkey AS subject FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def promotion_visibility(t):
+    return ledger_views.promoted(results_of(t), promotions_of(t)).select("result_id", "subject")
+
+
+@query("promotion_presence", "SELECT DISTINCT l_orderkey AS result_id, o_orderkey IS NOT NULL AS present FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'")
+def promotion_presence(t):
+    return ledger_views.promotion_presence(promotions_of(t), t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("result_id")))
+
+
+@query("journal_latest", "SELECT user_id AS key, max(event_id) AS revision, arg_max(event_type, event_id) AS content FROM events GROUP BY user_id")
+def journal_latest(t):
+    return ledger_views.journal_latest(journal_of(t)).select("key", "revision", "content")
+
+
+@query("journal_first_order", """
+SELECT j.user_id AS key, j.event_id AS revision, j.event_type AS content, f.first_sequence, row_number() OVER (ORDER BY f.first_sequence) AS place
+FROM events j JOIN (SELECT user_id, min(event_id) AS first_sequence, max(event_id) AS last FROM events GROUP BY user_id) f ON f.user_id = j.user_id AND f.last = j.event_id""")
+def journal_first_order(t):
+    from pyspark.sql import Window
+
+    rows = ledger_views.journal_list(journal_of(t)).select("key", "revision", "content", "first_sequence")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("first_sequence")))  # one row for each key of a journal
+
+
+TREE = """
+SELECT r_regionkey::BIGINT + 1000000 AS child, 0::BIGINT AS parent, 'edge' AS kind, r_regionkey AS position FROM region
+UNION ALL SELECT n_nationkey::BIGINT + 2000000, n_regionkey::BIGINT + 1000000, 'edge', n_nationkey FROM nation
+UNION ALL SELECT c_custkey + 3000000, c_nationkey::BIGINT + 2000000, CASE WHEN c_custkey % 7 = 0 THEN 'prototype' ELSE 'edge' END, c_custkey FROM customer"""
+
+
+def tree_of(t: Tables) -> DataFrame:
+    a = t.region.select((F.col("r_regionkey").cast("long") + 1000000).alias("child"), F.lit(0).cast("long").alias("parent"), F.lit("edge").alias("kind"), F.col("r_regionkey").cast("long").alias("position"))
+    b = t.nation.select((F.col("n_nationkey").cast("long") + 2000000).alias("child"), (F.col("n_regionkey").cast("long") + 1000000).alias("parent"), F.lit("edge").alias("kind"), F.col("n_nationkey").cast("long").alias("position"))
+    kind = F.when(F.col("c_custkey") % 7 == 0, "prototype").otherwise("edge")
+    c = t.customer.select((F.col("c_custkey") + 3000000).alias("child"), (F.col("c_nationkey").cast("long") + 2000000).alias("parent"), kind.alias("kind"), F.col("c_custkey").alias("position"))
+    return a.union(b).union(c)
+
+
+@query("subtree_recursive", f"WITH RECURSIVE edges AS ({TREE}), below(node, depth) AS (SELECT 1000001::BIGINT, 0 UNION ALL SELECT child, depth + 1 FROM below JOIN edges ON parent = node) SELECT node, depth FROM below")
+def subtree_recursive(t):
+    tree_of(t).createOrReplaceTempView("tidemark_edges")
+    return ledger_views.subtree(t.spark, "tidemark_edges", "1000001")
+
+
+@query("subtree_edges_ordered", f"WITH edges AS ({TREE}) SELECT parent, string_agg(child::VARCHAR, ',' ORDER BY position, child) AS children FROM edges GROUP BY parent")
+def subtree_edges_ordered(t):
+    return ledger_views.ordered_children(tree_of(t))
+
+
+@query("prefix_metadata", """
+WITH asked AS (SELECT DISTINCT event_type || '/' || user_id AS a, event_type AS b FROM events), indexed AS (SELECT DISTINCT event_type AS address FROM events WHERE user_id % 2 = 0 UNION SELECT event_type || '/' || user_id FROM events WHERE user_id % 3 = 0)
+SELECT a AS id, arg_max(address, length(address)) AS address FROM asked JOIN indexed ON address IN (a, b) GROUP BY a""")
+def prefix_metadata(t):
+    e = t.events.select("event_type", "user_id").distinct()
+    full = F.concat_ws("/", "event_type", "user_id")
+    index = e.filter("user_id % 2 = 0").select(F.col("event_type").alias("address")).union(e.filter("user_id % 3 = 0").select(full)).distinct()
+    return ledger_views.longest_prefix(index, e.select(full.alias("id"), F.array("event_type", full).alias("prefixes")))
+
+
+# -- values and evidence ----------------------------------------------------------------------
+@query("fingerprint_documents", "SELECT doc_id, sha256(text) AS fingerprint FROM documents")
+def fingerprint_documents(t):
+    return t.documents.select("doc_id", V.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query("projection_digest_conversations", "SELECT conv_id, sha256(string_agg(turn::VARCHAR || '=' || role, chr(10) ORDER BY turn, role)) AS digest FROM conversations GROUP BY conv_id")
+def projection_digest_conversations(t):
+    return evidence.projection_digest(t.conversations, ["conv_id"], F.col("turn"), F.col("role"))
+
+
+@query("member_order_digest", "SELECT user_id, sha256(string_agg(event_type, chr(10) ORDER BY event_id)) AS order_digest FROM events GROUP BY user_id")
+def member_order_digest(t):
+    return keyed.member_order_digest(t.events, ["user_id"], "event_id", F.col("event_type"))
+
+
+CHANGED = "CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 ELSE o_totalprice END"
+
+
+def changed_orders(t: Tables) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return t.orders.filter("o_orderkey % 101 <> 5").withColumn("o_totalprice", price)
+
+
+@query("evidence_changed_rows", f"""
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'unavailable' WHEN a.p = b.p THEN 'equal' ELSE 'changed' END AS state
+FROM (SELECT o_orderkey, o_totalprice AS p FROM orders) a FULL JOIN (SELECT o_orderkey, {CHANGED} AS p FROM orders WHERE o_orderkey % 101 <> 5) b ON a.o_orderkey = b.o_orderkey""")
+def evidence_changed_rows(t):
+    return evidence.compare_facts(t.orders, changed_orders(t), ["o_orderkey"], "o_totalprice")
+
+
+@query("early_cutoff_parents", f"""
+WITH was AS (SELECT o_custkey, count(*) AS n, sum(floor(o_totalprice / 1000)::BIGINT) AS v FROM orders GROUP BY 1),
+now AS (SELECT o_custkey, count(*) AS n, sum(floor(({CHANGED}) / 1000)::BIGINT) AS v FROM orders WHERE o_orderkey % 101 <> 5 GROUP BY 1)
+SELECT w.o_custkey AS key FROM was w LEFT JOIN now x USING (o_custkey) WHERE x.n IS DISTINCT FROM w.n OR x.v IS DISTINCT FROM w.v""")
+def early_cutoff_parents(t):
+    """Parents whose children's consumed output, thousands of the price, really changed."""
+    cut = lambda df: df.select("o_custkey", F.floor(F.col("o_totalprice") / 1000).alias("k"))
+    child = lambda df: cut(df).groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("k").alias("v"))
+    facts = lambda df: evidence.key_evidence(child(df), "o_custkey", ["n", "v"])
+    return evidence.compare_facts(facts(t.orders), facts(changed_orders(t)), ["key"], "evidence").filter("state <> 'equal'").select(F.col("key").cast("long").alias("key"))
+
+
+@query("membership_change", "SELECT 'removed' AS change, c_custkey FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 3 <> 0 UNION ALL SELECT 'added', c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0")
+def membership_change(t):
+    return evidence.membership_change(t.customer.filter("c_custkey % 5 = 0"), t.customer.filter("c_custkey % 3 = 0"), "c_custkey")
+
+
+@query("page_merge_conflicts", """
+WITH p AS (SELECT page_id % 40 AS id, url FROM pages) SELECT id, count(*) AS copies, count(DISTINCT url) > 1 AS conflict FROM p GROUP BY id""")
+def page_merge_conflicts(t):
+    return evidence.merge_pages(t.pages.select((F.col("page_id") % 40).alias("id"), "url"), "id", ["url"])
+
+
+@query("index_multiset_equal", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 25 EXCEPT ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1")
+def index_multiset_equal(t):
+    x = t.lineitem.select("l_orderkey", "l_linenumber")
+    return t.lineitem.filter("l_quantity > 25").select("l_orderkey", "l_linenumber").exceptAll(x.filter("l_linenumber = 1"))
+
+
+@query("json_selected_fact", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_selected_fact(t):
+    return t.events.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("json_own_keys", "SELECT event_id, list_contains(json_keys(props), 'k') AS own, len(json_keys(props))::INTEGER AS n FROM events")
+def json_own_keys(t):
+    keys = F.json_object_keys("props")
+    return t.events.select("event_id", F.array_contains(keys, "k").alias("own"), F.size(keys).alias("n"))
+
+
+# -- usage ------------------------------------------------------------------------------------
+def usage_of(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    attempts = t.orders.select(F.col("o_orderkey").alias("attempt"), F.col("o_orderpriority").alias("environment"))
+    reports = t.lineitem.select(F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("report"))
+    units = F.explode(F.array(F.struct(F.lit("quantity").alias("unit"), F.col("l_quantity").cast("long").alias("amount")), F.struct(F.lit("cents").alias("unit"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"))))
+    quantities = t.lineitem.select(F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("report"), units.alias("u")).select("attempt", "report", "u.*")
+    return attempts, reports, quantities
+
+
+@query("usage_summary_units", "SELECT 'quantity' AS unit, sum(l_quantity::BIGINT)::BIGINT AS total FROM lineitem UNION ALL SELECT 'cents', sum(round(l_extendedprice * 100)::BIGINT)::BIGINT FROM lineitem")
+def usage_summary_units(t):
+    return accounting.usage_by_unit(usage_of(t)[2])
+
+
+@query("usage_summary_counts", """
+SELECT count(*) AS attempts, sum(n)::BIGINT AS reports, count(*) FILTER (n IS NULL) AS unknown, CASE WHEN count(*) FILTER (n IS NULL) = 0 THEN 'complete' ELSE 'incomplete' END AS status
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def usage_summary_counts(t):
+    return accounting.usage_summary(*usage_of(t), "attempt")
+
+
+@query("usage_unknown_attempts", "SELECT o_orderkey AS attempt FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def usage_unknown_attempts(t):
+    a, r, _ = usage_of(t)
+    return accounting.unknown_attempts(a, r, "attempt").select("attempt")
+
+
+@query("usage_scoped_rows", """
+SELECT o_orderkey AS attempt, l_linenumber AS report, unit, amount FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+LEFT JOIN (SELECT l_orderkey AS k, l_linenumber AS l, 'quantity' AS unit, l_quantity::BIGINT AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'cents', round(l_extendedprice * 100)::BIGINT FROM lineitem) ON k = o_orderkey AND l = l_linenumber
+WHERE o_orderpriority = '2-HIGH'""")
+def usage_scoped_rows(t):
+    a, r, q = usage_of(t)
+    return accounting.scoped_usage(ledger_views.scoped(a, environment="2-HIGH", attempt=None), r, q, "attempt").select("attempt", "report", "unit", "amount")
+
+
+@query("usage_estimates", "SELECT o_orderkey AS attempt, q.quantities FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_quantity::BIGINT, ',' ORDER BY l_linenumber, l_quantity) AS quantities FROM lineitem GROUP BY 1) q ON l_orderkey = o_orderkey")
+def usage_estimates(t):
+    q = t.lineitem.select(F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("unit"), F.col("l_quantity").cast("long").alias("amount"))
+    out = accounting.estimates(t.orders.select(F.col("o_orderkey").alias("attempt")), q, "attempt")
+    return out.select("attempt", F.array_join(F.transform("quantities", lambda x: F.concat_ws(":", x["unit"], x["amount"])), ",").alias("quantities"))
+
+
+@query("usage_acknowledged", """
+SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'unattributable' WHEN l_linenumber > 2 THEN 'acknowledged' WHEN l_quantity > 10 THEN 'conflict' ELSE 'duplicate' END AS outcome
+FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0) ON o_orderkey = l_orderkey) GROUP BY outcome""")
+def usage_acknowledged(t):
+    rows = t.lineitem.select(F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("report"), F.col("l_quantity").alias("content"))
+    rows = rows.groupBy("attempt", "report").agg(F.max("content").alias("content"))
+    had = rows.filter("report <= 2").withColumn("content", F.least("content", F.lit(10.0)))
+    intents = t.orders.filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("attempt"))
+    return accounting.acknowledge(had, rows, intents, ["attempt", "report"], "attempt", "content").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+NOW = 1_705_276_800_000
+EXPIRES = f"CASE WHEN event_id % 4 = 0 THEN {MS} + 86400000 ELSE {MS} + 3600000 END"
+
+
+def resource_reports(t: Tables) -> DataFrame:
+    at = ms()
+    until = F.when(F.col("event_id") % 4 == 0, at + 86400000)
+    return t.events.select(F.col("event_id").alias("report"), at.alias("observed_at"), accounting.expires_at(at, until).alias("expires_at"))
+
+
+@query("resource_reports_live", f"SELECT event_id AS report, {MS} AS observed_at, {EXPIRES} AS expires_at FROM events WHERE {EXPIRES} > {NOW}")
+def resource_reports_live(t):
+    return accounting.live_reports(resource_reports(t), NOW)
+
+
+@query("resource_next_expiry", f"SELECT min({EXPIRES}) AS next_expiry FROM events WHERE {EXPIRES} > {NOW}")
+def resource_next_expiry(t):
+    return accounting.next_expiry(resource_reports(t), NOW)
+
+
+# -- rates and retries ------------------------------------------------------------------------
+@query("rate_rolling_window", f"SELECT event_id, sum(1) OVER (PARTITION BY user_id ORDER BY {MS} RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW)::BIGINT AS spent FROM events")
+def rate_rolling_window(t):
+    debits = t.events.select("event_id", "user_id", ms().alias("at"), F.lit(1).alias("cost"))
+    return rates.rolling_spent(debits, "user_id", "at", "cost", 3_600_000).select("event_id", "spent")
+
+
+@query("rate_next_admission", f"""
+WITH d AS (SELECT user_id, {MS} AS t, count(*) AS cost FROM events WHERE {MS} > {NOW} - 864000000 AND {MS} <= {NOW} GROUP BY 1, 2),
+s AS (SELECT user_id, t, sum(cost) OVER (PARTITION BY user_id) AS total, sum(cost) OVER (PARTITION BY user_id) - sum(cost) OVER (PARTITION BY user_id ORDER BY t) AS rest FROM d)
+SELECT user_id, CASE WHEN max(total) + 2 <= 12 THEN {NOW} ELSE min(CASE WHEN rest + 2 <= 12 THEN t + 864000000 END) END::BIGINT AS admit_at FROM s GROUP BY user_id""")
+def rate_next_admission(t):
+    debits = t.events.select("user_id", ms().alias("at"), F.lit(1).alias("cost"))
+    return rates.next_admission(debits, "user_id", "at", "cost", 864_000_000, 12, 2, NOW)
+
+
+@query("retry_history_last8", """
+SELECT user_id, event_id, omitted FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r, greatest(0, count(*) OVER (PARTITION BY user_id) - 8) AS omitted FROM events WHERE event_type = 'error') WHERE r <= 8""")
+def retry_history_last8(t):
+    return rates.recent_history(t.events.filter("event_type = 'error'").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("attempts_spent", "SELECT user_id, event_type, count(*) AS spent, count(*) FILTER (value > 50) AS rate_limited FROM events GROUP BY 1, 2")
+def attempts_spent(t):
+    return rates.spent_attempts(t.events, ["user_id", "event_type"], F.col("value") > 50)
+
+
+@query("event_counts_saturating", "SELECT event_type, least(300, count(*)) AS n FROM events GROUP BY event_type")
+def event_counts_saturating(t):
+    return rates.saturating_counts(t.events, "event_type", 300)
+
+
+# -- predicates, orders, scalars --------------------------------------------------------------
+@query("window_attribution", "SELECT c_nationkey, count(o_orderkey) AS authored, count(*) FILTER (o_orderstatus = 'F') AS merged FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-04-01' GROUP BY c_nationkey")
+def window_attribution(t):
+    quarter = t.orders.filter(V.in_window(F.col("o_orderdate"), F.lit("1995-01-01").cast("timestamp"), F.lit("1995-04-01").cast("timestamp")))
+    return t.customer.join(quarter, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_nationkey").agg(F.count("o_orderkey").alias("authored"), F.count_if(F.col("o_orderstatus") == "F").alias("merged"))
+
+
+@query("canonical_key_order", "SELECT p_name AS key, row_number() OVER (ORDER BY p_name) AS place FROM (SELECT DISTINCT p_name FROM part)")
+def canonical_key_order(t):
+    from pyspark.sql import Window
+
+    return t.part.select(F.col("p_name").alias("key")).distinct().withColumn("place", F.row_number().over(Window.orderBy(V.canonical_order(F.col("key")))))
+
+
+@query("expired_claims_topn", "SELECT c_custkey AS subject, c_acctbal AS lease FROM customer WHERE c_acctbal < 0 ORDER BY c_acctbal, c_custkey LIMIT 20")
+def expired_claims_topn(t):
+    return t.customer.filter("c_acctbal < 0").orderBy("c_acctbal", "c_custkey").limit(20).select(F.col("c_custkey").alias("subject"), F.col("c_acctbal").alias("lease"))
+
+
+@query("retry_delays", "SELECT l_orderkey, l_linenumber, least(60000, 2000 * pow(2, l_linenumber - 1))::BIGINT AS delay FROM lineitem")
+def retry_delays(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", V.retry_delay(F.col("l_linenumber")).alias("delay"))
+
+
+@query("count_sentences", "SELECT c_custkey, n || ' pull request' || CASE WHEN n = 1 THEN '' ELSE 's' END AS sentence FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)")
+def count_sentences(t):
+    n = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+    return n.select("c_custkey", V.count_noun(F.col("n"), "pull request").alias("sentence"))
+
+
+@query("reference_round_trip", "SELECT o_orderkey, json_array('store', 'contribution', o_orderpriority, o_orderkey::VARCHAR)::VARCHAR AS reference, o_orderkey::VARCHAR AS result_id FROM orders")
+def reference_round_trip(t):
+    ref = V.reference_for(F.lit("store"), F.lit("contribution"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string"))
+    return t.orders.select("o_orderkey", ref.alias("reference")).withColumn("result_id", V.parse_reference(F.col("reference"))["result_id"])
+
+
+@query("encoded_addresses", "SELECT event_id, '[\"' || event_type || '\",' || user_id || ',\"0\"]' AS address FROM events")
+def encoded_addresses(t):
+    return t.events.select("event_id", V.encode_address(V.property_segment(F.col("event_type")), V.index_segment(F.col("user_id")), V.property_segment(F.lit("0"))).alias("address"))
+
+
+@query("json_each_elements", "SELECT event_id, unnest([event_type, user_id::VARCHAR]) AS element FROM events")
+def json_each_elements(t):
+    text = F.to_json(F.array("event_type", F.col("user_id").cast("string")))
+    return t.events.select("event_id", F.explode(F.from_json(text, "array<string>")).alias("element"))
+
+
+@query("normalised_spaces", "SELECT page_id, trim(regexp_replace(url, '[/.:]+', ' ', 'g')) AS words FROM pages")
+def normalised_spaces(t):
+    return t.pages.select("page_id", V.one_space(F.regexp_replace("url", r"[/.:]+", "  ")).alias("words"))
+
+
+@query("identifier_predicate", "SELECT p_partkey, regexp_full_match(p_brand, '[A-Za-z][A-Za-z0-9._-]{0,127}') AS brand_fits, regexp_full_match(p_name, '[A-Za-z][A-Za-z0-9._-]{0,127}') AS name_fits FROM part")
+def identifier_predicate(t):
+    return t.part.select("p_partkey", V.is_identifier(F.col("p_brand")).alias("brand_fits"), V.is_identifier(F.col("p_name")).alias("name_fits"))
+
+
+@query("safe_integer_sums", "SELECT l_returnflag, sum(l_orderkey + l_partkey)::BIGINT AS total FROM lineitem GROUP BY 1")
+def safe_integer_sums(t):
+    return t.lineitem.groupBy("l_returnflag").agg(V.safe_sum(F.sum(V.safe_add(F.col("l_orderkey"), F.col("l_partkey")))).alias("total"))
+
+
+@query("quiet_final", f"SELECT event_id, coalesce(event_type <> 'error' AND {MS} + 86400000 <= {NOW}, false) AS final FROM events")
+def quiet_final(t):
+    return t.events.select("event_id", V.quiet_final(ms(), ms(), F.col("event_type") != "error", NOW, 86400).alias("final"))
