@@ -153,6 +153,7 @@ def test_staged_rows_without_a_commit_stay_unseen(spark, tmp_path):
 
 def test_other_layout_is_refused(spark, tmp_path):
     Ledger(spark, str(tmp_path / "l"))
+    (tmp_path / "l" / ".layout.json.crc").unlink(missing_ok=True)
     (tmp_path / "l" / "layout.json").write_text("{}")
     with pytest.raises(RuntimeError):
         Ledger(spark, str(tmp_path / "l"))

@@ -83,7 +83,8 @@ def read_query(spark, sql: str, allowed: set[str]) -> DataFrame:
     """Runs a query that only reads named views; anything else is refused before it runs."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     text = plan.toString()
-    if "Command" in plan.getClass().getSimpleName() or any(w in text for w in ("InsertInto", "CreateTable", "CreateView", "DropTable", "SetCommand", "CacheTable")):
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    if any(spark._jvm.java.lang.Class.forName(f"{logical}.{kind}").isInstance(plan) for kind in ("Command", "ParsedStatement")):
         raise PermissionError("only queries are allowed")
     import re
 
