@@ -32,7 +32,7 @@ from .shingles import shingle_sets
 SMALL = 8
 TILE = 1024
 #: Bytes of text whose block words are packed together.
-PACK_BYTES = 1 << 25
+PACK_BYTES = 1 << 24
 _U = np.uint64
 
 
