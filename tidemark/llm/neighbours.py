@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SHARD, BLOCK = 2048, 512
+SHARD, BLOCK = 8192, 512
 DEGREE, BUILD_BEAM, BEAM, ALPHA, ENTRIES = 48, 96, 192, 1.2, 24
 
 
