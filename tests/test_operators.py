@@ -162,3 +162,72 @@ def test_permits_and_stop():
     assert s.now() == "hard"
     s.stop("soft")
     assert s.now() == "hard"
+
+
+def test_payload_tree_selects_and_verifies(spark):
+    from tidemark.operators import tree
+
+    df = spark.createDataFrame([(1, ("a", [1, None]), None), (2, None, [("x",)])], "id long, r struct<k:string,v:array<long>>, s array<struct<q:string>>")
+    index = tree.shred(df, "id")
+    got = {(r["key"], r["address"]): (r["kind"], r["scalar"]) for r in index.collect()}
+    assert got[1, '["r","v",1]'] == ("scalar", None) and got[1, '["r","v",0]'] == ("scalar", "1") and got[2, '["s",0,"q"]'] == ("scalar", "x") and got[2, '["r"]'] == ("scalar", None)
+    assert tree.verified(df, "id", index) and not tree.verified(df, "id", index.filter("key = 1"))
+
+
+def test_gates_pass_together():
+    from tidemark.streaming.gates import RateSurface
+
+    s = RateSurface()
+    s.register("a", 3, 10)
+    s.register("b", 5, 10)
+    r, _ = s.admit({"a": 2, "b": 2}, 0)
+    s.commit(r, 0)
+    r, again = s.admit({"a": 2, "b": 2}, 4)
+    assert r is None and again == 10
+    assert s.admit({"a": 4}, 4) == (None, None)
+    r, _ = s.admit({"b": 3}, 4)
+    s.rollback(r)
+    s.observe_cooldown("b", 30)
+    assert s.admit({"b": 1}, 11) == (None, 30)
+    r, _ = s.admit({"a": 3}, 10)
+    assert r is not None
+    with pytest.raises(ValueError):
+        s.register("a", 9, 10)
+
+
+def test_cells_keep_values_and_failures():
+    from tidemark.plans.local import Cells
+
+    c = Cells()
+    x, runs = c.cell(1), []
+
+    def body():
+        runs.append(1)
+        if x.get() == 3:
+            raise ValueError("three")
+        return x.get() // 2
+
+    half = c.derived(body)
+    double = c.derived(lambda: runs.append(2) or half.get() * 2)
+    assert double.get() == 0 and double.get() == 0 and runs == [2, 1]
+    x.set(0)
+    assert double.get() == 0 and runs == [2, 1, 1], "an equal derived value leaves its readers alone"
+    x.set(3)
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            half.get()
+    assert runs.count(1) == 3
+
+
+def test_cli_verbs(spark, tmp_path, capsys):
+    import json
+
+    from tidemark import cli
+
+    ledger = str(tmp_path / "l")
+    assert cli.main(["observe", ledger]) == 1
+    assert cli.main(["start", ledger, "/root/testdata/sf0.001"]) == 0
+    assert cli.main(["observe", ledger]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["phase"] == "published"
+    rid = Ledger(spark, ledger).table("results").filter("subject = 'report'").first()["result_id"]
+    assert cli.main(["read-result", ledger, rid]) == 0 and cli.main(["read-result", ledger, "none"]) == 1

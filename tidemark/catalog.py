@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as V
-from .operators import accounting, evidence, keyed, ledger_views, rates
+from .operators import accounting, evidence, keyed, ledger_views, rates, tree
 from .plans import report
 
 QUERIES: dict = {}
@@ -468,3 +468,89 @@ def safe_integer_sums(t):
 @query("quiet_final", f"SELECT event_id, coalesce(event_type <> 'error' AND {MS} + 86400000 <= {NOW}, false) AS final FROM events")
 def quiet_final(t):
     return t.events.select("event_id", V.quiet_final(ms(), ms(), F.col("event_type") != "error", NOW, 86400).alias("final"))
+
+
+# -- payload trees and point reads ------------------------------------------------------------
+def payloads(t: Tables) -> DataFrame:
+    """Orders as payloads of a record with a nested record and an array."""
+    return t.orders.filter("o_orderkey % 5 = 0").select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("head"), F.array("o_orderpriority", "o_orderstatus").alias("tags"))
+
+
+TREE_ROWS = """
+SELECT o_orderkey AS key, '[]' AS address, 'record' AS kind, NULL AS scalar, 2 AS size FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, '["head"]', 'record', NULL, 2 FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, '["head","o_custkey"]', 'scalar', o_custkey::VARCHAR, NULL FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, '["head","o_orderstatus"]', 'scalar', o_orderstatus, NULL FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, '["tags"]', 'array', NULL, 2 FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, '["tags",0]', 'scalar', o_orderpriority, NULL FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, '["tags",1]', 'scalar', o_orderstatus, NULL FROM orders WHERE o_orderkey % 5 = 0"""
+
+
+@query("payload_index", TREE_ROWS)
+def payload_index(t):
+    return tree.shred(payloads(t), "o_orderkey").drop("fingerprint")
+
+
+@query("payload_selected", f"SELECT address, scalar FROM ({TREE_ROWS}) WHERE key = 5 AND address IN ('[\"head\",\"o_custkey\"]', '[\"tags\",1]', '[\"gone\"]')")
+def payload_selected(t):
+    return tree.read_selected(tree.shred(payloads(t), "o_orderkey"), 5, ['["head","o_custkey"]', '["tags",1]', '["gone"]']).select("address", "scalar")
+
+
+@query("payload_own_property", "SELECT o_orderkey AS key, true AS own FROM orders WHERE o_orderkey % 5 = 0")
+def payload_own_property(t):
+    return tree.has_own(tree.shred(payloads(t), "o_orderkey"), '["head"]', "o_custkey")
+
+
+@query("payload_child_keys", "SELECT o_orderkey AS key, '\"o_custkey\"|\"o_orderstatus\"' AS names FROM orders WHERE o_orderkey % 5 = 0")
+def payload_child_keys(t):
+    return tree.keys_below(tree.shred(payloads(t), "o_orderkey"), '["head"]').select("key", F.array_join("names", "|").alias("names"))
+
+
+@query("attempt_by_key", "SELECT o_orderkey AS attempt_id, o_orderstatus AS state FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey = 7")
+def attempt_by_key(t):
+    return ledger_views.scoped(t.orders, o_orderpriority="1-URGENT", o_custkey=7).select(F.col("o_orderkey").alias("attempt_id"), F.col("o_orderstatus").alias("state"))
+
+
+@query("acceptances_in_order", "SELECT l_orderkey AS result_id, l_linenumber AS acceptance, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem WHERE l_returnflag = 'N'")
+def acceptances_in_order(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    return t.lineitem.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("result_id"), F.col("l_linenumber").alias("acceptance"), F.row_number().over(w).alias("place"))
+
+
+@query("usage_estimates_by_scope", "SELECT o_orderpriority AS scope, o_orderstatus AS basis, count(*) AS n, sum(floor(o_totalprice)::BIGINT)::BIGINT AS amount FROM orders GROUP BY 1, 2")
+def usage_estimates_by_scope(t):
+    return t.orders.groupBy(F.col("o_orderpriority").alias("scope"), F.col("o_orderstatus").alias("basis")).agg(F.count("*").alias("n"), V.safe_sum(F.sum(F.floor("o_totalprice"))).alias("amount"))
+
+
+@query("resource_reports_kept", f"SELECT event_id AS report, {EXPIRES} AS expires_at FROM events WHERE NOT ({EXPIRES} <= {NOW})")
+def resource_reports_kept(t):
+    return accounting.evicted(resource_reports(t), NOW).select("report", "expires_at")
+
+
+@query("unique_references", "SELECT user_id, count(DISTINCT event_type) AS n, min(event_type) AS first FROM events GROUP BY user_id")
+def unique_references(t):
+    refs = t.events.groupBy("user_id").agg(F.array_distinct(F.array_sort(F.collect_set("event_type"))).alias("r"))
+    return refs.select("user_id", F.size("r").cast("long").alias("n"), F.get("r", F.lit(0)).alias("first"))
+
+
+@query("daily_coverage", "SELECT CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) AS day, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def daily_coverage(t):
+    day = F.floor(ms("o_orderdate") / 86400000).cast("long")
+    return t.orders.groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query("people_selected", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 5, 8) AND c_acctbal > -1e9")
+def people_selected(t):
+    return t.customer.filter(F.col("c_custkey").isin(3, 5, 8) & (F.col("c_acctbal") > -1e9)).select("c_custkey", "c_name")
+
+
+@query("miss_taxonomy", f"""
+WITH held AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 101 <> 5), now AS (SELECT o_orderkey AS k, {CHANGED} AS v FROM orders)
+SELECT CASE WHEN h.k IS NULL THEN 'cold' WHEN h.v <> n.v THEN 'changed' ELSE 'reused' END AS reason, count(*) AS n FROM now n LEFT JOIN held h USING (k) GROUP BY 1""")
+def miss_taxonomy(t):
+    price = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    states = evidence.compare_facts(t.orders.filter("o_orderkey % 101 <> 5"), t.orders.withColumn("o_totalprice", price), ["o_orderkey"], "o_totalprice")
+    reason = F.when(F.col("state") == "added", "cold").when(F.col("state") == "equal", "reused").otherwise("changed")
+    return states.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
