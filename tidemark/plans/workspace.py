@@ -51,9 +51,18 @@ class Run:
             raise RuntimeError("another writer holds the ledger")
         self.done: dict[str, Outcome] = {}
         self.bodies: dict[str, int] = {}
+        self.notes: dict[str, list[tuple]] = {"acceptances": [], "misses": []}
+
+    def _noted(self) -> dict[str, DataFrame]:
+        """Acceptances and misses not yet committed; they go with the next publication or at the end."""
+        rows = {name: self.ledger.rows(name, values) for name, values in self.notes.items() if values}
+        self.notes = {name: [] for name in self.notes}
+        return rows
 
     def close(self) -> None:
         if self.lease:
+            if rows := self._noted():
+                self.ledger.commit(self.lease, rows, {"kind": "notes"})
             self.ledger.release_writer(self.lease)
             self.lease = None
 
@@ -81,17 +90,16 @@ class Run:
         data.write.mode("errorifexists").parquet(f"{self.ledger.root}/{path}")
         row = (rid, self.analysis, self.environment, step.name, step.version, number, fact, path, bodies)
         attempt = (rid, self.analysis, self.environment, step.name, f"{step.name}#{number}", step.version, fact, "completed", self.lease.fence)
-        self.ledger.commit(self.lease, {"results": self.ledger.rows("results", [row]), "attempts": self.ledger.rows("attempts", [attempt])}, {"step": step.name, **(note or {})}, expect=number)
+        self.ledger.commit(self.lease, {"results": self.ledger.rows("results", [row]), "attempts": self.ledger.rows("attempts", [attempt]), **self._noted()}, {"step": step.name, **(note or {})}, expect=number)
         return self.read(path)
 
     def _accept(self, step: Step, result_id: str) -> None:
         if self.write:
-            row = (uuid.uuid4().hex, self.analysis, self.environment, step.name, result_id, self.lease.fence)
-            self.ledger.commit(self.lease, {"acceptances": self.ledger.rows("acceptances", [row])}, {"accept": step.name})
+            self.notes["acceptances"].append((uuid.uuid4().hex, self.analysis, self.environment, step.name, result_id, self.lease.fence))
 
     def _miss(self, step: Step, reason: str, n: int = 1) -> None:
         if self.write:
-            self.ledger.commit(self.lease, {"misses": self.ledger.rows("misses", [(self.analysis, self.environment, step.name, reason, n)])}, {"miss": step.name})
+            self.notes["misses"].append((self.analysis, self.environment, step.name, reason, n))
 
     def _ran(self, step: Step, n: int) -> None:
         self.bodies[step.name] = self.bodies.get(step.name, 0) + n
