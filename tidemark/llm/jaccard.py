@@ -418,6 +418,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
             break  # every pair across components that the sketches let pass has been verified
         members = scratch.table(members.join(held, "run", "left_semi"), f"members-{step}")
         each *= 8
+    scratch.drop("found", "members", *(f"{t}-{i}" for i in range(step + 1) for t in ("tiles", "tried", "members")))
     degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     final = nodes.join(labels, "node", "left").join(degree, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("c"), "n_links")
     out = sets.join(final, ["k1", "k2"], "left").select(
