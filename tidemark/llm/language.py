@@ -25,6 +25,8 @@ from .common import fold_mod, mix64, pieces, text_docs
 
 #: Rows of each language to learn from at most, and landmarks in all.
 ROWS_EACH, LANDMARKS = 600, 256
+#: Parts of a language among which its training rows are looked for first.
+SALTS = 256
 BITS, ORDERS = 14, (1, 2, 3)
 RIDGE = 1e-2
 _PLACE = mix64(np.arange(11, 11 + max(ORDERS), dtype=np.uint64)) | np.uint64(1)
@@ -82,9 +84,14 @@ def solve(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
 
 def train(docs: DataFrame, rows_each: int = ROWS_EACH) -> dict:
     """The model from at most ``rows_each`` rows a language, those with the smallest digest of their id."""
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salted, whole = Window.partitionBy("lang", "salt").orderBy(*first), Window.partitionBy("lang").orderBy(*first)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null")
-    ids = ids.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= rows_each).select("doc_id", "lang")
+    # a language may hold most rows: its first rows are found within salts, then among those
+    ids = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)))
+    for window in (salted, whole):
+        ids = ids.withColumn("r", F.row_number().over(window)).filter(F.col("r") <= rows_each).drop("r")
+    ids = ids.select("doc_id", "lang")
     rows = text_docs(docs).join(F.broadcast(ids), "doc_id").filter("text is not null")  # rows_each for each language at most
     got = rows.select("doc_id", "text", "lang").mapInArrow(_packed, "doc_id long, lang string, bits binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     if not got.num_rows:
