@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Distinct words are exploded into their substrings of bounded length, the substrings are
-equi-joined to the piece table, the edges found are grouped by word, and a higher-order
-``aggregate`` folds each word's lattice: by Viterbi for tables of log-probabilities, or, for
+The distinct words of a block of documents are exploded into their substrings of bounded
+length, the substrings are equi-joined to the piece table, the edges found are grouped by
+word, and a higher-order ``aggregate`` folds each word's lattice, in the task that reads the
+block, so that no word is shuffled (``encode_words`` does the same for a table of words): by Viterbi for tables of log-probabilities, or, for
 tables whose scores are merge ranks (BPE models), by replaying merges over the same edges,
 since the best sum of ranks is not what such a model encodes. Characters without a piece
 fall back to byte pieces. Words never share pieces: no piece continues after a space mark or
@@ -15,10 +16,17 @@ text decodes to a space, as in the library.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pieces as cut_batch
+from .common import text_docs
+
 LONGEST = 512
 MODEL = os.environ.get("TIDEMARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -100,8 +108,217 @@ def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     return encoded.join(text, "word")
 
 
+#: Bytes of text whose distinct words share one lattice table.
+BLOCK_BYTES = 2 << 20
+
+#: A word as ``edges_of`` gives it: n (characters), chars (id of each, -1 without a piece), and merges, the edges of
+#: several characters, best first: key (rank, id, start and end in 20, 20, 10 and 10 bits), span (a bit for each
+#: boundary from start to end; 0 in words over ``BITS``), ends (the bits of the two), and watched (a better edge
+#: has one of the ends and spans this edge).
+_BLOCK = (
+    "words array<struct<word string, n bigint, chars array<int>, merges array<struct<key bigint, span bigint, ends bigint, watched boolean>>>>, "
+    "docs array<struct<doc_id bigint, at array<int>>>"
+)
+
+#: The longest word whose boundaries fit a long.
+BITS = 62
+
+_WORD = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """``split_words`` of one text."""
+    if not text:
+        return []
+    found = _WORD.findall(SPACE + text.replace(" ", SPACE))
+    if max(map(len, found)) > LONGEST:
+        found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
+    return found
+
+
+_STEP = np.uint64(0x5851F42D4C957F2D)
+
+
+class PieceHash:
+    """Hashes of the ordinary pieces and of their beginnings by length: sorted, with the places of pieces, code points, ids and ranks."""
+
+    def __init__(self, rows: list[tuple[str, int, float]]):
+        found = {p: (i, k) for k, (p, i, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
+        self.by_length = []
+        for length in range(1, max(map(len, found), default=0) + 1):
+            some = sorted({p[:length] for p in found if len(p) >= length})
+            points = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(len(some), length)
+            hashes = np.zeros(len(some), np.uint64)
+            for k in range(length):
+                hashes = hashes * _STEP + points[:, k].astype(np.uint64) + np.uint64(1)
+            order = np.argsort(hashes, kind="stable")
+            if len(np.unique(hashes)) < len(hashes):
+                raise ValueError("two pieces share a hash")
+            ids, ranks = (np.array([found.get(p, (-1, -1))[k] for p in some], np.int64)[order] for k in (0, 1))
+            self.by_length.append((length, hashes[order], points[order], ids, ranks))
+
+
+def edges_of(words: list[str], table: PieceHash) -> pa.Array:
+    """The lattice of each word: its substrings of bounded length joined to the piece table, grouped by word.
+
+    A substring that no piece begins with is not made longer."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = first[owner + 1] - np.arange(len(points))
+    chars = np.full(len(points), -1, np.int32)
+    keys, owners = [], []
+    at = np.arange(len(points))
+    hashes = np.zeros(len(points), np.uint64)
+    for size, known, spelled, ids, ranks in table.by_length:
+        keep = left[at] >= size  # the substrings grow by a character; those past their word's end go
+        at, hashes = at[keep], hashes[keep]
+        hashes = hashes * _STEP + points[at + (size - 1)].astype(np.uint64) + np.uint64(1)
+        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        keep = known[place] == hashes
+        at, hashes, place = at[keep], hashes[keep], place[keep]
+        keep = (points[at[:, None] + np.arange(size)] == spelled[place]).all(axis=1)
+        at, hashes, place = at[keep], hashes[keep], place[keep]
+        hit = ids[place] >= 0
+        start, place = at[hit], place[hit]
+        if size == 1:
+            chars[start] = ids[place]
+        else:
+            word = owner[start]
+            begin = start - first[word]
+            keys.append(ranks[place] << 40 | ids[place] << 20 | begin << 10 | (begin + size))
+            owners.append(word)
+    keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    order = np.argsort(owners << 30 | keys >> 40 << 10 | keys >> 10 & 1023, kind="stable")
+    keys, owners = keys[order], owners[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
+    begin, end = keys >> 10 & 1023, keys & 1023
+    short = sizes[owners] <= BITS
+    low, high = np.where(short, begin, 0), np.where(short, end, 0)
+    marks = np.where(short, 1 << low | 1 << high, 0)
+    merges = pa.StructArray.from_arrays(
+        [pa.array(keys), pa.array(np.where(short, (1 << high - low) - 1 << low | marks, 0)), pa.array(marks), pa.array(_watched(keys, owners, begin, end))],
+        ["key", "span", "ends", "watched"],
+    )
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(words, pa.string()), pa.array(sizes),
+            pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(chars)),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), merges),
+        ],
+        ["word", "n", "chars", "merges"],
+    )
+
+
+def _watched(keys: np.ndarray, owners: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a better edge of the same word shares the start and ends later, or shares the end and starts earlier."""
+    out = np.zeros(len(keys), bool)
+    for shared, reach in ((begin, 1023 - end), (end, begin)):
+        group = owners << 10 | shared
+        order = np.argsort(group << 10 | reach, kind="stable")  # in a group, wider edges come first
+        group, rank = group[order], keys[order]
+        new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        for back in range(1, int(np.diff(np.append(new, len(group))).max(initial=1))):
+            out[order[back:]] |= (group[back:] == group[:-back]) & (rank[:-back] < rank[back:])
+    return out
+
+
+class _Places(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self)
+        return place
+
+
+def blocks(pieces: DataFrame):
+    """Function for mapInArrow: a row for each block of documents, its distinct words with their edges, and each document as places among them."""
+    rows = [(r.piece, r.id, r.score) for r in pieces.filter("score is not null").collect()]  # the vocabulary: tens of thousands of rows
+
+    def run(batches):
+        table = PieceHash(rows)
+        for batch in batches:
+            for part in cut_batch(batch, limit=BLOCK_BYTES):
+                seen = _Places()
+                ends, at = [0], array("i")
+                for text in part.column(1).to_pylist():
+                    at.extend(map(seen.__getitem__, words_of(text)))
+                    ends.append(len(at))
+                at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(at, np.int32)))
+                docs = pa.StructArray.from_arrays([part.column(0), at], ["doc_id", "at"])
+                columns = [edges_of(list(seen), table), docs]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+                yield pa.RecordBatch.from_arrays(lists, ["words", "docs"])
+
+    return run
+
+
+_START, _END = "(shiftright(e.key, 10) & 1023L)", "(e.key & 1023L)"
+_OPEN = f"array_position({{c}}, {_START}) > 0 and coalesce(get({{c}}, array_position({{c}}, {_START}) + 1) = {_END}, false)"
+_CUT = f"array_remove({{c}}, get({{c}}, array_position({{c}}, {_START})))"
+
+#: Boundaries, as bits, after all merges in one pass over the edges, best first: an edge over two symbols removes the
+#: boundary between them. ``late`` tells that a merge opened an edge better than itself, which the pass had left behind.
+_PASS = """aggregate(w.merges, named_struct('c', shiftleft(2L, cast(w.n as int)) - 1L, 'late', false), (s, e) ->
+  if((s.c & e.ends) = e.ends and bit_count(s.c & e.span) = 3,
+    named_struct('c', s.c & ~(e.span ^ e.ends), 'late', s.late or if(e.watched, exists(w.merges, f -> f.key < e.key
+      and bit_count(s.c & ~(e.span ^ e.ends) & f.span) = 3 and (s.c & ~(e.span ^ e.ends) & f.ends) = f.ends), false)), s))"""
+_BOUNDS = "filter(sequence(0L, w.n), i -> getbit(s.c, i) = 1)"
+
+#: The same with arrays of boundaries, for longer words; every watched merge counts as late.
+_LONG_PASS = f"""aggregate(w.merges, named_struct('cuts', sequence(0L, w.n), 'late', false), (s, e) -> if({_OPEN.format(c='s.cuts')},
+  named_struct('cuts', {_CUT.format(c='s.cuts')}, 'late', s.late or e.watched), s))"""
+
+#: The same for words with a late edge: each step takes the best open edge of all.
+_STEPS = f"""aggregate(sequence(1L, w.n), sequence(0L, w.n), (c, step) -> aggregate(slice(filter(w.merges, e -> {_OPEN.format(c='c')}), 1, 1), c, (d, e) -> {_CUT.format(c='d')}))"""
+
+#: The boundaries, and the edges among which the symbols between them are.
+_CUTS = f"""if(w.n <= {BITS},
+  transform(array({_PASS}), s -> if(s.late, named_struct('cuts', {_STEPS}, 'kept', w.merges),
+    named_struct('cuts', {_BOUNDS}, 'kept', filter(w.merges, e -> (s.c & e.ends) = e.ends and bit_count(s.c & e.span) = 2)))),
+  transform(array({_LONG_PASS}), s -> named_struct('cuts', if(s.late, {_STEPS}, s.cuts), 'kept', w.merges)))"""
+
+_SYMBOL_IDS = """flatten(transform(sequence(1, size(x.cuts) - 1), i -> case
+  when x.cuts[i] - x.cuts[i - 1] > 1 then transform(slice(filter(x.kept, e -> (e.key & 1048575L) = x.cuts[i - 1] * 1024L + x.cuts[i]), 1, 1), e -> cast(shiftright(e.key, 20) & 1048575L as int))
+  when w.chars[cast(x.cuts[i - 1] as int)] >= 0 then array(w.chars[cast(x.cuts[i - 1] as int)])
+  else transform(sequence(1, octet_length(substring(w.word, cast(x.cuts[i] as int), 1))),
+    k -> {first_byte} + cast(conv(substring(hex(encode(substring(w.word, cast(x.cuts[i] as int), 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) as int)) end))"""
+
+
+def encoded_blocks(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """doc_id, words, ids of every row: lattices of a block's distinct words folded where the block is, with no shuffle."""
+    first_byte = pieces.filter("piece = '<0x00>'").first()["id"]
+    ids = f"transform(words, w -> transform({_CUTS}, x -> {_SYMBOL_IDS.format(first_byte=first_byte)})[0])"
+    joined = f"transform(array({ids}), known -> transform(docs, d -> named_struct('doc_id', d.doc_id, 'words', size(d.at), 'ids', flatten(transform(d.at, i -> known[i])))))[0]"
+    return text_docs(docs).mapInArrow(blocks(pieces), _BLOCK).selectExpr(f"inline({joined})")
+
+
+def decoder(pieces: DataFrame):
+    """Function for mapInArrow: adds decoded, the text that the ids of each row spell."""
+    rows = [(r.id, r.piece, r.score is None) for r in pieces.collect()]  # the vocabulary
+
+    def run(batches):
+        raw = {i: bytes([int(p[3:5], 16)]) if byte else p.encode() for i, p, byte in rows}
+        table = pa.array([raw.get(i, b"") for i in range(max(raw) + 1)], pa.large_binary())
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            spelled = table.take(ids.flatten())
+            where = np.frombuffer(spelled.buffers()[1], np.int64) if len(spelled) else np.zeros(1, np.int64)
+            data = memoryview(spelled.buffers()[2]) if len(spelled) else b""
+            ends = where[np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)]))].tolist()
+            texts = [str(data[a:b], "utf-8")[1:].replace(SPACE, " ") for a, b in zip(ends, ends[1:])]
+            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+
+    return run
+
+
 def encoded(docs: DataFrame, pieces: DataFrame, kind: str = "bpe") -> DataFrame:
     """doc_id, words (number), ids, decoded of every row."""
+    if kind == "bpe":
+        done = encoded_blocks(docs, pieces)
+        return done.mapInArrow(decoder(pieces), "doc_id bigint, words int, ids array<int>, decoded string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
     places = rows.select("doc_id", "digest", F.posexplode(split_words(F.col("text"))).alias("p", "word"))
