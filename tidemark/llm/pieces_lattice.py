@@ -109,7 +109,7 @@ def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 #: Bytes of text whose distinct words share one lattice table.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: A word as ``edges_of`` gives it: n (characters), chars (id of each, -1 without a piece), and merges, the edges of
 #: several characters, best first: key (rank, id, start and end in 20, 20, 10 and 10 bits), span (a bit for each
