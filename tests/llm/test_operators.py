@@ -324,3 +324,16 @@ def test_pipeline_keeps_and_drops(spark):
     assert clean.columns == docs.columns and not any(secrets.spans(r["text"]) for r in clean.collect())
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in out.collect()} <= keep & got and out.count() > 0
+
+
+def test_pieces_of_long_words_and_letter_soup_equal_the_library(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces_lattice.MODEL)
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abeinorstth"), n)) for n in (61, 62, 63, 64, 200, 500)] + ["a" * 300, "the" * 80, " " * 90, "é" * 70 + "ß語"]
+    texts += ["".join(rng.choice(list("etaoin ths"), 400)) for _ in range(20)]
+    got = pieces_lattice.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces_lattice.piece_table(spark)).collect()
+    for r in got:
+        assert r.ids == model.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
+    assert len(got) == len(texts)

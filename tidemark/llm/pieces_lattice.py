@@ -121,7 +121,7 @@ _BLOCK = (
 )
 
 #: The longest word whose boundaries fit a long.
-BITS = 62
+BITS = 61
 
 _WORD = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
