@@ -337,3 +337,19 @@ def test_pieces_of_long_words_and_letter_soup_equal_the_library(spark):
     for r in got:
         assert r.ids == model.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
     assert len(got) == len(texts)
+
+
+def test_pieces_of_words_of_any_length_equal_the_library(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces_lattice.MODEL)
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abeinorstth"), n)) for n in (511, 512, 513, 600, 700, 1023, 1024, 1100, 20000)]
+    texts += ["a" * 600, "the" * 200, "".join(rng.choice(list("0123456789abcdef"), 700)), "門é😀ab" * 400, "before " + "the" * 5000 + " after\n" + "x" * 3000 + "\n" + " " * 800, "th" * 10000]
+    texts += ["".join(rng.choice(list("etaoinhs"), 700)) for _ in range(20)]
+    got = pieces_lattice.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pieces_lattice.piece_table(spark)).collect()
+    for r in got:
+        assert r.ids == model.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
+    assert len(got) == len(texts)
+    words = spark.createDataFrame([(t,) for t in texts[9:14]], "text string").select("text", pieces_lattice.split_words(F.col("text")).alias("words")).collect()
+    assert all(r.words == pieces_lattice.words_of(r.text) for r in words)

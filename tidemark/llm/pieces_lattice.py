@@ -7,7 +7,9 @@ block, so that no word is shuffled (``encode_words`` does the same for a table o
 tables whose scores are merge ranks (BPE models), by replaying merges over the same edges,
 since the best sum of ranks is not what such a model encodes. Characters without a piece
 fall back to byte pieces. Words never share pieces: no piece continues after a space mark or
-over a line feed. Words of more than ``LONGEST`` characters are cut there.
+over a line feed. No word is cut: words of more than ``LONGEST`` characters are merged by a
+queue in the worker that finds the edges, since the fold over a lattice takes the square of a
+word's length and more.
 
 Null texts have no tokens, as empty ones have; repeated rows are encoded each. U+2581 in a
 text decodes to a space, as in the library.
@@ -15,6 +17,7 @@ text decodes to a space, as in the library.
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 from array import array
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import pieces as cut_batch
 from .common import text_docs
 
+#: The longest word whose lattice Spark folds.
 LONGEST = 512
 MODEL = os.environ.get("TIDEMARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -45,9 +49,7 @@ def split_words(text: Column) -> Column:
     """The words of a text, space marks in front; together they are the marked text."""
     marked = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
     words = F.split(marked, rf"(?<=[^{SPACE}])(?={SPACE})|(?<=\n)|(?=\n)")
-    long_cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / LONGEST)), lambda k: F.substr(w, (k * LONGEST + 1).cast("int"), F.lit(LONGEST)))
-    words = F.flatten(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.when(F.length(w) <= LONGEST, F.array(w)).otherwise(long_cut(w))))
-    return F.when(F.length(text) > 0, words).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) > 0, F.filter(words, lambda w: w != "")).otherwise(F.array().cast("array<string>"))
 
 
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -114,9 +116,9 @@ BLOCK_BYTES = 1 << 20
 #: A word as ``edges_of`` gives it: n (characters), chars (id of each, -1 without a piece), and merges, the edges of
 #: several characters, best first: key (rank, id, start and end in 20, 20, 10 and 10 bits), span (a bit for each
 #: boundary from start to end; 0 in words over ``BITS``), ends (the bits of the two), and watched (a better edge
-#: has one of the ends and spans this edge).
+#: has one of the ends and spans this edge); ids, of a word over ``LONGEST`` alone, in place of all these.
 _BLOCK = (
-    "words array<struct<word string, n bigint, chars array<int>, merges array<struct<key bigint, span bigint, ends bigint, watched boolean>>>>, "
+    "words array<struct<word string, n bigint, chars array<int>, merges array<struct<key bigint, span bigint, ends bigint, watched boolean>>, ids array<int>>>, "
     "docs array<struct<doc_id bigint, at array<int>>>"
 )
 
@@ -130,10 +132,36 @@ def words_of(text: str | None) -> list[str]:
     """``split_words`` of one text."""
     if not text:
         return []
-    found = _WORD.findall(SPACE + text.replace(" ", SPACE))
-    if max(map(len, found)) > LONGEST:
-        found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
-    return found
+    return _WORD.findall(SPACE + text.replace(" ", SPACE))
+
+
+def merged(word: str, ranks: dict[str, int], ids: dict[str, int], first_byte: int) -> list[int]:
+    """Ids of one word of any length: the best of all pairs of neighbours that spell a piece is merged until there is none.
+
+    A queued pair that another merge has changed no longer spells the piece of its rank."""
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # starts of the neighbours; after is 0 within a symbol
+    queue = [r << 32 | i for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(queue)
+    while queue:
+        rank, i = divmod(heapq.heappop(queue), 1 << 32)
+        middle = after[i]
+        if not middle or middle == n or ranks.get(word[i : after[middle]]) != rank:
+            continue
+        end = after[i] = after[middle]
+        after[middle] = 0
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(word[i : after[end]])) is not None:
+                heapq.heappush(queue, r << 32 | i)
+        if i and (r := ranks.get(word[before[i] : end])) is not None:
+            heapq.heappush(queue, r << 32 | before[i])
+    out, i = [], 0
+    while i < n:
+        symbol = word[i : after[i]]
+        out.extend([ids[symbol]] if symbol in ids else [first_byte + b for b in symbol.encode()])
+        i = after[i]
+    return out
 
 
 _STEP = np.uint64(0x5851F42D4C957F2D)
@@ -233,12 +261,14 @@ class _Places(dict):
         return place
 
 
-def blocks(pieces: DataFrame):
+def blocks(pieces: DataFrame, first_byte: int):
     """Function for mapInArrow: a row for each block of documents, its distinct words with their edges, and each document as places among them."""
     rows = [(r.piece, r.id, r.score) for r in pieces.filter("score is not null").collect()]  # the vocabulary: tens of thousands of rows
 
     def run(batches):
         table = PieceHash(rows)
+        ids = {p: i for p, i, _ in rows}
+        ranks = {p: k for k, (p, _, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
         for batch in batches:
             for part in cut_batch(batch, limit=BLOCK_BYTES):
                 seen = _Places()
@@ -248,7 +278,10 @@ def blocks(pieces: DataFrame):
                     ends.append(len(at))
                 at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(at, np.int32)))
                 docs = pa.StructArray.from_arrays([part.column(0), at], ["doc_id", "at"])
-                columns = [edges_of(list(seen), table), docs]
+                words = edges_of([w if len(w) <= LONGEST else "" for w in seen], table)
+                longer = pa.array([merged(w, ranks, ids, first_byte) if len(w) > LONGEST else None for w in seen], pa.list_(pa.int32()))
+                words = pa.StructArray.from_arrays([*words.flatten(), longer], [*(f.name for f in words.type), "ids"])
+                columns = [words, docs]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
                 yield pa.RecordBatch.from_arrays(lists, ["words", "docs"])
 
@@ -290,9 +323,9 @@ _SYMBOL_IDS = """flatten(transform(sequence(1, size(x.cuts) - 1), i -> case
 def encoded_blocks(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     """doc_id, words, ids of every row: lattices of a block's distinct words folded where the block is, with no shuffle."""
     first_byte = pieces.filter("piece = '<0x00>'").first()["id"]
-    ids = f"transform(words, w -> transform({_CUTS}, x -> {_SYMBOL_IDS.format(first_byte=first_byte)})[0])"
+    ids = f"transform(words, w -> coalesce(w.ids, transform({_CUTS}, x -> {_SYMBOL_IDS.format(first_byte=first_byte)})[0]))"
     joined = f"transform(array({ids}), known -> transform(docs, d -> named_struct('doc_id', d.doc_id, 'words', size(d.at), 'ids', flatten(transform(d.at, i -> known[i])))))[0]"
-    return text_docs(docs).mapInArrow(blocks(pieces), _BLOCK).selectExpr(f"inline({joined})")
+    return text_docs(docs).mapInArrow(blocks(pieces, first_byte), _BLOCK).selectExpr(f"inline({joined})")
 
 
 def decoder(pieces: DataFrame):
