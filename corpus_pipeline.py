@@ -30,9 +30,16 @@ def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group linked by shingle similarity."""
-    found = jaccard.jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """Keeps one row of every group linked by shingle similarity: the one with the smallest id, any id before none.
+
+    Rows are numbered first, so that null and repeated ids are rows like others. Texts
+    without words link with nothing and stay.
+    """
+    numbered = Scratch(spark, "near_copies").table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = numbered.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    return numbered.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -353,3 +353,34 @@ def test_pieces_of_words_of_any_length_equal_the_library(spark):
     assert len(got) == len(texts)
     words = spark.createDataFrame([(t,) for t in texts[9:14]], "text string").select("text", pieces_lattice.split_words(F.col("text")).alias("words")).collect()
     assert all(r.words == pieces_lattice.words_of(r.text) for r in words)
+
+
+def test_pipeline_run_equals_brute_force_with_null_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    some = base.orderBy("doc_id").limit(90).collect()
+    alone = "a quiet {} sentence of plain words about rivers, bridges and long walks in the {} hills of the north"
+    extra = [some[3], some[3], some[40]]  # repeated rows
+    extra += [r.asDict() | {"doc_id": None} for r in (some[7], some[50])]  # null ids, copies of rows with an id
+    extra += [some[0].asDict() | {"doc_id": None, "text": alone.format(w, w) + " and its own " + " ".join(f"{w}{k}" for k in range(30))} for w in ("green", "brown", "brown")]
+    extra += [some[0].asDict() | {"doc_id": i, "text": "the same id carries another text here " + " ".join(f"{i}word{k}" for k in range(40))} for i in (some[9].doc_id, some[9].doc_id + 10**6)]
+    extra += [some[0].asDict() | {"source": None, "lang": None, "n_chars": None, "doc_id": 10**7}]
+    docs = spark.createDataFrame([tuple(r) for r in some] + [tuple(r[c] for c in base.columns) for r in extra], base.schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = corpus_pipeline.toxic_out(spark, docs, str(tmp_path)).localCheckpoint()
+    told = corpus_pipeline.language_known(spark, clean, str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in told) >= 3
+    told.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    groups = brute_components([(i, r.text) for i, r in enumerate(told)])
+    want = []
+    for i, r in enumerate(told):
+        if groups[i][1] == i:
+            left = len(re.findall(r"[^ \t\n\x0b\f\r]+", secrets.redact(r.text)))
+            room = packing.ROOM
+            want += [(repr(r.doc_id), k, min(room, left - k * room)) for k in range(max(1, -(-left // room)))]
+    got = [(repr(r.doc_id), r.piece, r.n_words) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
