@@ -35,3 +35,13 @@ def test_same_rows(spark, duck, name):
     want = duck.sql(catalog.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_payload_trees_of_all_orders(spark, duck):
+    t = catalog.Tables(spark, SF)
+    index = catalog.tree.shred(catalog.payloads(t), "o_orderkey")
+    want = duck.sql(catalog.TREE_ROWS.replace(" WHERE o_orderkey % 5 = 0", "")).df()
+    assert rows(index.drop("fingerprint").toPandas()) == rows(want)
+    keys = {r[0] for r in t.orders.select("o_orderkey").collect()}
+    assert {r.key for r in catalog.tree.has_own(index, '["head"]', "o_custkey").filter("own").collect()} == keys
+    assert {r.key: r.names for r in catalog.tree.keys_below(index, '["head"]').collect()} == dict.fromkeys(keys, ['"o_custkey"', '"o_orderstatus"'])

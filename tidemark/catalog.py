@@ -473,7 +473,12 @@ def quiet_final(t):
 # -- payload trees and point reads ------------------------------------------------------------
 def payloads(t: Tables) -> DataFrame:
     """Orders as payloads of a record with a nested record and an array."""
-    return t.orders.filter("o_orderkey % 5 = 0").select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("head"), F.array("o_orderpriority", "o_orderstatus").alias("tags"))
+    return t.orders.select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("head"), F.array("o_orderpriority", "o_orderstatus").alias("tags"))
+
+
+def in_sql_scope(df: DataFrame, key: str) -> DataFrame:
+    """The fifth of the keys that the SQL of payload_index, payload_own_property and payload_child_keys lists."""
+    return df.filter(F.col(key) % 5 == 0)
 
 
 TREE_ROWS = """
@@ -488,7 +493,7 @@ UNION ALL SELECT o_orderkey, '["tags",1]', 'scalar', o_orderstatus, NULL FROM or
 
 @query("payload_index", TREE_ROWS)
 def payload_index(t):
-    return tree.shred(payloads(t), "o_orderkey").drop("fingerprint")
+    return in_sql_scope(tree.shred(payloads(t), "o_orderkey"), "key").drop("fingerprint")
 
 
 @query("payload_selected", f"SELECT address, scalar FROM ({TREE_ROWS}) WHERE key = 5 AND address IN ('[\"head\",\"o_custkey\"]', '[\"tags\",1]', '[\"gone\"]')")
@@ -498,12 +503,12 @@ def payload_selected(t):
 
 @query("payload_own_property", "SELECT o_orderkey AS key, true AS own FROM orders WHERE o_orderkey % 5 = 0")
 def payload_own_property(t):
-    return tree.has_own(tree.shred(payloads(t), "o_orderkey"), '["head"]', "o_custkey")
+    return in_sql_scope(tree.has_own(tree.shred(payloads(t), "o_orderkey"), '["head"]', "o_custkey"), "key")
 
 
 @query("payload_child_keys", "SELECT o_orderkey AS key, '\"o_custkey\"|\"o_orderstatus\"' AS names FROM orders WHERE o_orderkey % 5 = 0")
 def payload_child_keys(t):
-    return tree.keys_below(tree.shred(payloads(t), "o_orderkey"), '["head"]').select("key", F.array_join("names", "|").alias("names"))
+    return in_sql_scope(tree.keys_below(tree.shred(payloads(t), "o_orderkey"), '["head"]'), "key").select("key", F.array_join("names", "|").alias("names"))
 
 
 @query("attempt_by_key", "SELECT o_orderkey AS attempt_id, o_orderstatus AS state FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey = 7")
