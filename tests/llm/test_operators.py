@@ -384,3 +384,16 @@ def test_pipeline_run_equals_brute_force_with_null_and_repeated_rows(spark, tmp_
             want += [(repr(r.doc_id), k, min(room, left - k * room)) for k in range(max(1, -(-left // room)))]
     got = [(repr(r.doc_id), r.piece, r.n_words) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_full_licence_texts(spark):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    folder = licences.resources.files("tidemark.llm").joinpath("licence_texts")
+    texts = [(n, folder.joinpath(f"{n}.txt").read_text()) for n in names]
+    assert all(len(t) > 1000 for _, t in texts)
+    rows = [(n, f) for n, t in texts for f in (t, t.upper(), t.replace("\n", "\r\n"), "Copyright (c) 2020 A. Person\n\n" + t)]
+    rows += [(n, t.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n") for n, t in texts if "END OF TERMS" in t]
+    rows += [(n, t.replace("* Redistributions of", "1. Redistributions of").replace("* Redistributions in", "2. Redistributions in").replace("* Neither", "3. Neither").split("\n", 1)[1]) for n, t in texts if n.startswith("BSD")]
+    rows += [(None, t + " but changed") for _, t in texts]
+    got = licences.licences(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text_licence"] for r in got] == [n for n, _ in rows]

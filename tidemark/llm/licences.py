@@ -10,6 +10,9 @@ matched each; no text is cut. All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,25 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
 )
+
+
+def _variants(text: str) -> set[str]:
+    """The forms in which a full text is passed on: with and without what follows its terms, with list marks or numbers, with and without its title."""
+    out = {text} | {text[: m.end()] for m in re.finditer(r"END OF TERMS AND CONDITIONS", text)}
+    if text.startswith("BSD "):
+        marks = iter("123")
+        out.add(re.sub(r"(?m)^\* ", lambda m: f"{next(marks)}. ", text))
+        out |= {t.split("\n", 1)[1] for t in out}
+    return out
+
+
+def _full_texts() -> tuple[tuple[str, str], ...]:
+    files = sorted((f for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return tuple((f.name.removesuffix(".txt"), t) for f in files for t in sorted(_variants(f.read_text(encoding="utf-8"))))
+
+
+#: Full texts of further licences, from the files of licence_texts.
+TEXTS = _full_texts()
 #: Equivalent spellings: (pattern, replacement), applied in this order to the normalised text.
 SPELLINGS = (
     (r"\blicenc(e|ed|es|ing)\b", "licens$1"), (r"\bsub licens", "sublicens"), (r"\bnon infringement\b", "noninfringement"),
@@ -61,13 +83,13 @@ def digest(text: Column) -> Column:
     return F.sha2(F.nullif(canonical(text), F.lit("")).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known=KNOWN + TEXTS) -> DataFrame:
     """(digest, licence), one row a digest."""
     table = spark.createDataFrame([(n, t) for n, t in known], "licence string, text string")
     return table.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
-def licences(docs: DataFrame, known=KNOWN) -> DataFrame:
+def licences(docs: DataFrame, known=KNOWN + TEXTS) -> DataFrame:
     """doc_id, text_digest, text_licence (whole text), line_licences (sorted, comma-joined) and n_lines of every row.
 
     A line counts if it is the whole of a known notice; only matching lines are shuffled.
