@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,3 +398,15 @@ def test_full_licence_texts(spark):
     rows += [(None, t + " but changed") for _, t in texts]
     got = licences.licences(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["text_licence"] for r in got] == [n for n, _ in rows]
+
+
+def test_long_texts_of_distinct_words_pair_in_one_partition():
+    words = [f"w{i}" for i in range(300_000)]
+    texts = pa.array([" ".join(words), " ".join([*words[:-20], "another", "end"])])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), texts], names=["doc_id", "text"])
+    packed = list(jaccard._packed_words(5, 75, 1)(iter([batch])))
+    counts = [np.frombuffer(r.as_py(), np.int64, 2) for b in packed for r in b.column(1)]
+    assert max(e / m for m, e in counts) > 65535
+    pairs = [(k, a, b) for o in jaccard._bucket_pairs(iter(packed)) for k, a, b in zip(*(c.to_pylist() for c in o.columns), strict=True)]
+    h, off = jaccard.shingle_sets(texts)
+    assert pairs == [(0, *sorted(jaccard._set_keys(h, off)[0].tolist()))]

@@ -156,7 +156,7 @@ def _packed_words(width: int, num: int, parts: int):
             head = np.array([len(own), e - s], np.int64)
             short = (words[s:e] // _U(parts)).view(np.uint8).reshape(-1, 8)[:, :6]
             ids.append(p)
-            data.append(head.tobytes() + keys[own].tobytes() + count.astype(np.uint16).tobytes() + np.ascontiguousarray(short).tobytes())
+            data.append(head.tobytes() + keys[own].tobytes() + count.astype(np.uint32).tobytes() + np.ascontiguousarray(short).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], names=["part", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +191,8 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             raw = raw.as_py()
             m, e = np.frombuffer(raw, np.int64, 2)
             k = np.frombuffer(raw, np.int64, m, 16)
-            count = np.frombuffer(raw, np.uint16, m, 16 + 8 * m)
-            short = np.frombuffer(raw, np.uint8, 6 * e, 16 + 10 * m).reshape(-1, 6)
+            count = np.frombuffer(raw, np.uint32, m, 16 + 8 * m)
+            short = np.frombuffer(raw, np.uint8, 6 * e, 16 + 12 * m).reshape(-1, 6)
             word = np.zeros((e, 8), np.uint8)
             word[:, :6] = short
             words.append(word.view(_U).ravel() ^ (_U(p) << _U(48)))
