@@ -38,7 +38,7 @@ OPERATORS = {
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_edge_rows_and_empty_tables(spark, name):
-    rows = EDGE if name != "pieces" else [r if r[0] != 6 else (6, "long " + "word " * 300, "a") for r in EDGE[:-1]]
+    rows = EDGE
     got = OPERATORS[name](spark, odd_docs(spark, rows)).collect()
     ids = sorted(r["doc_id"] for r in got)
     if name == "packing":
@@ -372,7 +372,7 @@ def test_pipeline_run_equals_brute_force_with_null_and_repeated_rows(spark, tmp_
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
 
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    clean = corpus_pipeline.toxic_out(spark, docs, str(tmp_path)).localCheckpoint()
+    clean = corpus_pipeline.Scratch(spark, "clean").table(corpus_pipeline.toxic_out(spark, docs, str(tmp_path)), "clean")
     told = corpus_pipeline.language_known(spark, clean, str(tmp_path)).collect()
     assert sum(r.doc_id is None for r in told) >= 3
     told.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0))
@@ -410,3 +410,18 @@ def test_long_texts_of_distinct_words_pair_in_one_partition():
     pairs = [(k, a, b) for o in jaccard._bucket_pairs(iter(packed)) for k, a, b in zip(*(c.to_pylist() for c in o.columns), strict=True)]
     h, off = jaccard.shingle_sets(texts)
     assert pairs == [(0, *sorted(jaccard._set_keys(h, off)[0].tolist()))]
+
+
+def test_pieces_of_many_blocks_when_kept_words_are_forgotten(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces_lattice.MODEL)
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 7))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words[i * 60 : i * 60 + 160], k=160_000)) for i in range(4)] + ["", "the end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for kept in (100, 1 << 19):
+        got = pieces_lattice.encoded(docs, pieces_lattice.piece_table(spark), kept=kept).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert r.ids == model.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id] and r.words == len(pieces_lattice.words_of(texts[r.doc_id]))

@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-The distinct words of a block of documents are exploded into their substrings of bounded
+The words that a task meets for the first time are cut into their substrings of bounded
 length, the substrings are equi-joined to the piece table, the edges found are grouped by
-word, and a higher-order ``aggregate`` folds each word's lattice, in the task that reads the
-block, so that no word is shuffled (``encode_words`` does the same for a table of words): by Viterbi for tables of log-probabilities, or, for
-tables whose scores are merge ranks (BPE models), by replaying merges over the same edges,
+word, and Spark's higher-order ``aggregate`` folds each word's lattice in the same task, so
+that no word is shuffled; the task keeps what it has encoded for later blocks
+(``encode_words`` explodes, joins, groups and folds a table of words as relations). The fold
+is Viterbi for tables of log-probabilities or, for
+tables whose scores are merge ranks (BPE models), replays merges over the same edges,
 since the best sum of ranks is not what such a model encodes. Characters without a piece
 fall back to byte pieces. Words never share pieces: no piece continues after a space mark or
 over a line feed. No word is cut: words of more than ``LONGEST`` characters are merged by a
@@ -21,6 +23,7 @@ import heapq
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +113,10 @@ def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     return encoded.join(text, "word")
 
 
-#: Bytes of text whose distinct words share one lattice table.
+#: Bytes of text that are read as one block.
 BLOCK_BYTES = 1 << 20
+#: Distinct words that a task keeps encoded; beyond them it forgets all and begins anew.
+KEPT_WORDS = 1 << 19
 
 #: A word as ``edges_of`` gives it: n (characters), chars (id of each, -1 without a piece), and merges, the edges of
 #: several characters, best first: key (rank, id, start and end in 20, 20, 10 and 10 bits), span (a bit for each
@@ -119,7 +124,7 @@ BLOCK_BYTES = 1 << 20
 #: has one of the ends and spans this edge); ids, of a word over ``LONGEST`` alone, in place of all these.
 _BLOCK = (
     "words array<struct<word string, n bigint, chars array<int>, merges array<struct<key bigint, span bigint, ends bigint, watched boolean>>, ids array<int>>>, "
-    "docs array<struct<doc_id bigint, at array<int>>>"
+    "docs array<struct<doc_id bigint, at array<int>>>, known int"
 )
 
 #: The longest word whose boundaries fit a long.
@@ -261,29 +266,34 @@ class _Places(dict):
         return place
 
 
-def blocks(pieces: DataFrame, first_byte: int):
-    """Function for mapInArrow: a row for each block of documents, its distinct words with their edges, and each document as places among them."""
+def blocks(pieces: DataFrame, first_byte: int, kept: int = KEPT_WORDS):
+    """Function for mapInArrow: a row for each block of documents, with the words that its task has not met before and
+    their edges, each document as places among all words met, and how many of those earlier blocks have brought."""
     rows = [(r.piece, r.id, r.score) for r in pieces.filter("score is not null").collect()]  # the vocabulary: tens of thousands of rows
 
     def run(batches):
         table = PieceHash(rows)
         ids = {p: i for p, i, _ in rows}
         ranks = {p: k for k, (p, _, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
+        seen = _Places()
         for batch in batches:
             for part in cut_batch(batch, limit=BLOCK_BYTES):
-                seen = _Places()
+                if len(seen) > kept:
+                    seen = _Places()
+                known = len(seen)
                 ends, at = [0], array("i")
                 for text in part.column(1).to_pylist():
                     at.extend(map(seen.__getitem__, words_of(text)))
                     ends.append(len(at))
                 at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(at, np.int32)))
                 docs = pa.StructArray.from_arrays([part.column(0), at], ["doc_id", "at"])
-                words = edges_of([w if len(w) <= LONGEST else "" for w in seen], table)
-                longer = pa.array([merged(w, ranks, ids, first_byte) if len(w) > LONGEST else None for w in seen], pa.list_(pa.int32()))
+                fresh = list(islice(reversed(seen), len(seen) - known))[::-1]
+                words = edges_of([w if len(w) <= LONGEST else "" for w in fresh], table)
+                longer = pa.array([merged(w, ranks, ids, first_byte) if len(w) > LONGEST else None for w in fresh], pa.list_(pa.int32()))
                 words = pa.StructArray.from_arrays([*words.flatten(), longer], [*(f.name for f in words.type), "ids"])
                 columns = [words, docs]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-                yield pa.RecordBatch.from_arrays(lists, ["words", "docs"])
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([known], pa.int32())], ["words", "docs", "known"])
 
     return run
 
@@ -320,38 +330,55 @@ _SYMBOL_IDS = """flatten(transform(sequence(1, size(x.cuts) - 1), i -> case
     k -> {first_byte} + cast(conv(substring(hex(encode(substring(w.word, cast(x.cuts[i] as int), 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) as int)) end))"""
 
 
-def encoded_blocks(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """doc_id, words, ids of every row: lattices of a block's distinct words folded where the block is, with no shuffle."""
+def encoded_blocks(docs: DataFrame, pieces: DataFrame, kept: int = KEPT_WORDS) -> DataFrame:
+    """(ids of the block's new words, docs, known) of every block: lattices folded in the task that reads the block, with no shuffle."""
     first_byte = pieces.filter("piece = '<0x00>'").first()["id"]
     ids = f"transform(words, w -> coalesce(w.ids, transform({_CUTS}, x -> {_SYMBOL_IDS.format(first_byte=first_byte)})[0]))"
-    joined = f"transform(array({ids}), known -> transform(docs, d -> named_struct('doc_id', d.doc_id, 'words', size(d.at), 'ids', flatten(transform(d.at, i -> known[i])))))[0]"
-    return text_docs(docs).mapInArrow(blocks(pieces, first_byte), _BLOCK).selectExpr(f"inline({joined})")
+    return text_docs(docs).mapInArrow(blocks(pieces, first_byte, kept), _BLOCK).selectExpr(f"{ids} AS ids", "docs", "known")
 
 
-def decoder(pieces: DataFrame):
-    """Function for mapInArrow: adds decoded, the text that the ids of each row spell."""
+def _lists(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The lists at some places, one after another; list i is values[ends[i]:ends[i + 1]]."""
+    size = ends[at + 1] - ends[at]
+    stop = np.cumsum(size)
+    return values[np.repeat(ends[at] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+
+
+def assembler(pieces: DataFrame):
+    """Function for mapInArrow over folded blocks, in the order of their task: doc_id, words, ids, decoded of each document."""
     rows = [(r.id, r.piece, r.score is None) for r in pieces.collect()]  # the vocabulary
 
     def run(batches):
         raw = {i: bytes([int(p[3:5], 16)]) if byte else p.encode() for i, p, byte in rows}
-        table = pa.array([raw.get(i, b"") for i in range(max(raw) + 1)], pa.large_binary())
+        spelled = [raw.get(i, b"") for i in range(max(raw) + 1)]
+        letters, letter_ends = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([0, *map(len, spelled)])
+        held, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            spelled = table.take(ids.flatten())
-            where = np.frombuffer(spelled.buffers()[1], np.int64) if len(spelled) else np.zeros(1, np.int64)
-            data = memoryview(spelled.buffers()[2]) if len(spelled) else b""
-            ends = where[np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)]))].tolist()
-            texts = [str(data[a:b], "utf-8")[1:].replace(SPACE, " ") for a, b in zip(ends, ends[1:])]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            for i in range(batch.num_rows):
+                fresh, docs = batch.column(0)[i].values, batch.column(1)[i].values
+                if not batch.column(2)[i].as_py():
+                    held, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+                held = np.concatenate([held, fresh.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+                ends = np.concatenate([ends, ends[-1] + np.cumsum(fresh.value_lengths().to_numpy(zero_copy_only=False))])
+                at, n = docs.field(1).flatten().to_numpy(), docs.field(1).value_lengths().to_numpy(zero_copy_only=False)
+                words_to = np.cumsum([0, *n])
+                ids_to = np.concatenate([[0], np.cumsum(ends[at + 1] - ends[at])])[words_to]
+                ids = _lists(held, ends, at)
+                bytes_to = np.concatenate([[0], np.cumsum(letter_ends[ids + 1] - letter_ends[ids])])[ids_to]
+                data = memoryview(_lists(letters, letter_ends, ids))
+                texts = [str(data[a:b], "utf-8")[1:].replace(SPACE, " ") for a, b in zip(bytes_to.tolist(), bytes_to[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [docs.field(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ids_to, pa.int32()), pa.array(ids, pa.int32())), pa.array(texts, pa.string())],
+                    ["doc_id", "words", "ids", "decoded"],
+                )
 
     return run
 
 
-def encoded(docs: DataFrame, pieces: DataFrame, kind: str = "bpe") -> DataFrame:
+def encoded(docs: DataFrame, pieces: DataFrame, kind: str = "bpe", kept: int = KEPT_WORDS) -> DataFrame:
     """doc_id, words (number), ids, decoded of every row."""
     if kind == "bpe":
-        done = encoded_blocks(docs, pieces)
-        return done.mapInArrow(decoder(pieces), "doc_id bigint, words int, ids array<int>, decoded string")
+        return encoded_blocks(docs, pieces, kept).mapInArrow(assembler(pieces), "doc_id bigint, words int, ids array<int>, decoded string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
     places = rows.select("doc_id", "digest", F.posexplode(split_words(F.col("text"))).alias("p", "word"))
