@@ -425,3 +425,17 @@ def test_pieces_of_many_blocks_when_kept_words_are_forgotten(spark):
         assert len(got) == len(texts)
         for r in got:
             assert r.ids == model.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id] and r.words == len(pieces_lattice.words_of(texts[r.doc_id]))
+
+
+def test_licence_lines_of_any_length_and_of_repeated_ids(spark):
+    mit = licences.KNOWN[0][1].split("\n\n", 1)[1].replace("\n\n", " ")
+    rows = [(1, "Released under the MIT License." + " " * 6000 + "\nother"), (2, "dedicated\nThis work is dedicated  to the public  domain -- under CC0 1.0."), (3, "a\n" + "-" * 9000 + " " + mit + " " + "*" * 9000)]
+    rows += [(4, "Released under the MIT licence"), (4, "Licensed under CC BY 4.0\n\nLicensed under CC BY 4.0\nReleased under the MIT License"), (4, "Released under the MIT licence"), (None, "Released under the MIT licence\nx"), (None, "x")]
+    got = licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.line_licences, r.n_lines) for r in got) == sorted([(1, "MIT", 1), (2, "CC0-1.0", 1), (3, "", 0), (4, "MIT", 1), (4, "CC-BY-4.0,MIT", 3), (4, "MIT", 1), (0, "MIT", 1), (0, "", 0)])
+    own = (("BSD-3-Clause", "SPDX: BSD-3-Clause"), ("two", "cc by"))
+    assert licences.anchors(spark, own) is None and licences.anchors(spark, own[:1]) == "clause"
+    got = licences.licences(spark.createDataFrame([(1, "spdx -- bsd 3 CLAUSE\nCreative Commons Attribution")], "doc_id long, text string"), own).first()
+    assert (got.line_licences, got.n_lines) == ("BSD-3-Clause,two", 2)
+    many = own + tuple((f"L{i}", f"known text number {i}") for i in range(licences.FEW))
+    assert licences.licences(spark.createDataFrame([(1, "Known text, number 77!")], "doc_id long, text string"), many).first().text_licence == "L77"

@@ -11,7 +11,9 @@ matched each; no text is cut. All of it is DataFrame functions.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from importlib import resources
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,14 +72,33 @@ SPELLINGS = (
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright\b|copr\b|\(c\) ?[0-9]|© ?)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 
 
+#: Signs that are read as a space: white space, ASCII punctuation, and the marks below; a run of them is one space.
+SIGNS = r"[\x00-\x20!-/:-@\[-`{-~\u00A0–—‘’“”©]+"
+#: What a text has if the expression for copyright lines, or a spelling rule, can match in it at all.
+_COPYRIGHT_SIGNS = ("copyright", "copr", "(c)", "©", "all rights reserved")
+_SPELLING_SIGNS = ("licenc", "sub licens", "non infringement", "non commercial", "organisation", "favour", "copyright owner", "creative commons attribution", "version ", "https")
+
+
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"[\x00-\x20!-/:-@\[-`{-~]+", " "), "[  –—‘’“”©]+", " "))
+    out = F.trim(F.regexp_replace(out, SIGNS, " "))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to)
     return out
 
 
+def with_canonical(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with ``canonical`` of a column, in steps: an expression runs only over texts that have what it looks for."""
+    has = lambda c, signs: reduce(or_, (F.col(c).contains(s) for s in signs))
+    out = rows.withColumn(name, F.lower(F.col(text)))
+    out = out.withColumn(name, F.when(has(name, _COPYRIGHT_SIGNS), F.regexp_replace(name, COPYRIGHT, " ")).otherwise(F.col(name)))
+    out = out.withColumn(name, F.trim(F.regexp_replace(name, SIGNS, " ")))
+    spelled = F.col(name)
+    for pattern, to in SPELLINGS:
+        spelled = F.regexp_replace(spelled, pattern, to)
+    return out.withColumn(name, F.when(has(name, _SPELLING_SIGNS) | F.col(name).rlike(r"\bv\d"), spelled).otherwise(F.col(name)))
+
+
 def digest(text: Column) -> Column:
     """Null if nothing is left of the text."""
     return F.sha2(F.nullif(canonical(text), F.lit("")).cast("binary"), 256)
@@ -89,49 +110,70 @@ def known_digests(spark: SparkSession, known=KNOWN + TEXTS) -> DataFrame:
     return table.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
+#: Words that a spelling rule may make; any other word of a normalised text stands in the text as it is.
+_MADE = re.compile("licens|sublicens|noninfringement|noncommercial|organi|favo|copyright|holder|cc|by|v$|http")
+#: Known texts up to this number are broadcast, and looked for by word first.
+FEW = 10_000
+
+
+def anchors(spark: SparkSession, known) -> str | None:
+    """An expression that every text matches which normalises to a known one: of each known text the longest word that no rule can make.
+
+    None if some known text has no such word, or if they are too many to look for."""
+    if len(known) > FEW:
+        return None
+    table = spark.createDataFrame([(t,) for _, t in known], "text string").select(canonical(F.col("text")))
+    words = set()
+    for (text,) in table.collect():
+        sure = [w for w in text.split(" ") if w.isascii() and w.isalpha() and not _MADE.match(w)]
+        if text and not sure:
+            return None
+        words |= {max(sure, key=lambda w: (len(w), w))} if text else set()
+    return "|".join(sorted(words)) if 0 < len(words) <= 200 else None
+
+
 def licences(docs: DataFrame, known=KNOWN + TEXTS) -> DataFrame:
     """doc_id, text_digest, text_licence (whole text), line_licences (sorted, comma-joined) and n_lines of every row.
 
     A line counts if it is the whole of a known notice; only matching lines are shuffled.
+    Lines belong to their row's id and text, so that rows of one id keep their own lines.
     """
     spark = docs.sparkSession
     table = known_digests(spark, known)
-    if len(known) > 10_000:
-        raise ValueError("the table of known texts is meant to be small enough to broadcast")
+    table = F.broadcast(table) if len(known) <= FEW else table
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    longest = max(len(t) for _, t in known) * 4 + 64
+    rows = rows.withColumn("text_id", F.sha2(F.col("text").cast("binary"), 256))
+    lines = rows.select("doc_id", "text_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    if (words := anchors(spark, known)) is not None:
+        lines = lines.filter(F.lower("line").rlike(words))  # without these words no line can normalise to a known text
     lines = (
-        rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-        .filter(F.length("line") <= longest)  # a longer line can't normalise to a known text
-        .filter(F.lower("line").rlike("licen[cs]|public domain|permission"))
-        .select("doc_id", digest(F.col("line")).alias("digest"))
-        .join(F.broadcast(table), "digest")
-        .groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"), F.count("*").alias("n"))
+        lines.select("doc_id", "text_id", "place", digest(F.col("line")).alias("digest")).join(table, "digest")
+        .groupBy("doc_id", "text_id").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"), F.count_distinct("place").alias("n"))
+        .withColumnsRenamed({"doc_id": "line_doc", "text_id": "line_text"})
     )
-    whole = rows.select("doc_id", digest(F.col("text")).alias("text_digest"))
-    whole = whole.join(F.broadcast(table.withColumnsRenamed({"digest": "text_digest", "licence": "text_licence"})), "text_digest", "left")
-    out = whole.join(lines, "doc_id", "left")
+    whole = with_canonical(rows, "text", "canonical").select("doc_id", "text_id", F.sha2(F.nullif(F.col("canonical"), F.lit("")).cast("binary"), 256).alias("text_digest"))
+    whole = whole.join(table.withColumnsRenamed({"digest": "text_digest", "licence": "text_licence"}), "text_digest", "left")
+    out = whole.join(lines, F.col("doc_id").eqNullSafe(F.col("line_doc")) & F.col("text_id").eqNullSafe(F.col("line_text")), "left")
     return out.select("doc_id", "text_digest", "text_licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"), F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"))
 
 
 def _sql_canonical(x: str) -> str:
     q = lambda s: s.replace("'", "''").replace("$", "\\")
     out = f"regexp_replace(lower({x}), '{COPYRIGHT.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
-    out = f"trim(regexp_replace(regexp_replace({out}, '[\\x00-\\x20!-/:-@\\[-`{{-~]+', ' ', 'g'), '[  –—‘’“”©]+', ' ', 'g'))"
+    out = f"trim(regexp_replace(regexp_replace({out}, '[\\x00-\\x20!-/:-@\\[-`{{-~]+', ' ', 'g'), '[ \u00A0–—‘’“”©]+', ' ', 'g'))"
     for pattern, to in SPELLINGS:
         out = f"regexp_replace({out}, '{q(pattern)}', '{q(to)}', 'g')"
     return out
 
 
-def oracle_sql(known=KNOWN) -> str:
+def oracle_sql(known=KNOWN + TEXTS) -> str:
     rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in known)
-    longest = max(len(t) for _, t in known) * 4 + 64
     dig = lambda x: f"sha256(nullif({_sql_canonical(x)}, ''))"
     return f"""
 WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT {dig("text")} AS digest, licence FROM (VALUES {rows}) AS k(licence, text)) GROUP BY digest),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-hits AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT licence)), ',') AS line_licences, count(*) AS n
-         FROM (SELECT doc_id, {dig("line")} AS digest FROM lines WHERE length(line) <= {longest} AND regexp_matches(lower(line), 'licen[cs]|public domain|permission')) JOIN known USING (digest) GROUP BY doc_id),
-whole AS (SELECT doc_id, {dig("text")} AS text_digest FROM documents)
+lines AS (SELECT doc_id, sha256(text) AS text_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents),
+hits AS (SELECT doc_id, text_id, array_to_string(list_sort(list(DISTINCT licence)), ',') AS line_licences, count(DISTINCT place) AS n
+         FROM (SELECT doc_id, text_id, place, {dig("line")} AS digest FROM lines) JOIN known USING (digest) GROUP BY doc_id, text_id),
+whole AS (SELECT doc_id, sha256(text) AS text_id, {dig("text")} AS text_digest FROM documents)
 SELECT w.doc_id, w.text_digest, k.licence AS text_licence, coalesce(h.line_licences, '') AS line_licences, coalesce(h.n, 0)::BIGINT AS n_lines
-FROM whole w LEFT JOIN known k ON k.digest = w.text_digest LEFT JOIN hits h ON h.doc_id = w.doc_id"""
+FROM whole w LEFT JOIN known k ON k.digest = w.text_digest LEFT JOIN hits h ON h.doc_id IS NOT DISTINCT FROM w.doc_id AND h.text_id IS NOT DISTINCT FROM w.text_id"""
