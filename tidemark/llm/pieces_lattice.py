@@ -118,14 +118,12 @@ BLOCK_BYTES = 1 << 20
 #: Distinct words that a task keeps encoded; beyond them it forgets all and begins anew.
 KEPT_WORDS = 1 << 19
 
-#: A word as ``edges_of`` gives it: n (characters), chars (id of each, -1 without a piece), and merges, the edges of
-#: several characters, best first: key (rank, id, start and end in 20, 20, 10 and 10 bits), span (a bit for each
-#: boundary from start to end; 0 in words over ``BITS``), ends (the bits of the two), and watched (a better edge
-#: has one of the ends and spans this edge); ids, of a word over ``LONGEST`` alone, in place of all these.
-_BLOCK = (
-    "words array<struct<word string, n bigint, chars array<int>, merges array<struct<key bigint, span bigint, ends bigint, watched boolean>>, ids array<int>>>, "
-    "docs array<struct<doc_id bigint, at array<int>>>, known int"
-)
+#: A word as ``edges_of`` gives it: n (characters) and merges, the edges of several characters, best first: key
+#: (rank, id, start and end in 20, 20, 10 and 10 bits), span (a bit for each boundary from start to end; 0 in words
+#: over ``BITS``), ends (the bits of the two), and watched (a better edge has one of the ends and spans this edge);
+#: ids, of a word over ``LONGEST`` alone, in place of these.
+_WORD_TYPE = "struct<word string, n bigint, merges array<struct<key bigint, span bigint, ends bigint, watched boolean>>, ids array<int>>"
+_BLOCK = f"words array<{_WORD_TYPE}>, docs array<struct<doc_id bigint, at array<int>>>, known int"
 
 #: The longest word whose boundaries fit a long.
 BITS = 61
@@ -200,7 +198,6 @@ def edges_of(words: list[str], table: PieceHash) -> pa.Array:
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(words)), sizes)
     left = first[owner + 1] - np.arange(len(points))
-    chars = np.full(len(points), -1, np.int32)
     keys, owners = [], []
     at = np.arange(len(points))
     hashes = np.zeros(len(points), np.uint64)
@@ -215,9 +212,7 @@ def edges_of(words: list[str], table: PieceHash) -> pa.Array:
         at, hashes, place = at[keep], hashes[keep], place[keep]
         hit = ids[place] >= 0
         start, place = at[hit], place[hit]
-        if size == 1:
-            chars[start] = ids[place]
-        else:
+        if size > 1:
             word = owner[start]
             begin = start - first[word]
             keys.append(ranks[place] << 40 | ids[place] << 20 | begin << 10 | (begin + size))
@@ -238,10 +233,9 @@ def edges_of(words: list[str], table: PieceHash) -> pa.Array:
     return pa.StructArray.from_arrays(
         [
             pa.array(words, pa.string()), pa.array(sizes),
-            pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(chars)),
             pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), merges),
         ],
-        ["word", "n", "chars", "merges"],
+        ["word", "n", "merges"],
     )
 
 
@@ -266,7 +260,7 @@ class _Places(dict):
         return place
 
 
-def blocks(pieces: DataFrame, first_byte: int, kept: int = KEPT_WORDS):
+def blocks(pieces: DataFrame, first_byte: int, common: list[str], kept: int = KEPT_WORDS):
     """Function for mapInArrow: a row for each block of documents, with the words that its task has not met before and
     their edges, each document as places among all words met, and how many of those earlier blocks have brought."""
     rows = [(r.piece, r.id, r.score) for r in pieces.filter("score is not null").collect()]  # the vocabulary: tens of thousands of rows
@@ -275,11 +269,12 @@ def blocks(pieces: DataFrame, first_byte: int, kept: int = KEPT_WORDS):
         table = PieceHash(rows)
         ids = {p: i for p, i, _ in rows}
         ranks = {p: k for k, (p, _, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
-        seen = _Places()
+        start = {w: i for i, w in enumerate(common)}
+        seen = _Places(start)
         for batch in batches:
             for part in cut_batch(batch, limit=BLOCK_BYTES):
-                if len(seen) > kept:
-                    seen = _Places()
+                if len(seen) - len(start) > kept:
+                    seen = _Places(start)
                 known = len(seen)
                 ends, at = [0], array("i")
                 for text in part.column(1).to_pylist():
@@ -308,8 +303,6 @@ _PASS = """aggregate(w.merges, named_struct('c', shiftleft(2L, cast(w.n as int))
   if((s.c & e.ends) = e.ends and bit_count(s.c & e.span) = 3,
     named_struct('c', s.c & ~(e.span ^ e.ends), 'late', s.late or if(e.watched, exists(w.merges, f -> f.key < e.key
       and bit_count(s.c & ~(e.span ^ e.ends) & f.span) = 3 and (s.c & ~(e.span ^ e.ends) & f.ends) = f.ends), false)), s))"""
-_BOUNDS = "filter(sequence(0L, w.n), i -> getbit(s.c, i) = 1)"
-
 #: The same with arrays of boundaries, for longer words; every watched merge counts as late.
 _LONG_PASS = f"""aggregate(w.merges, named_struct('cuts', sequence(0L, w.n), 'late', false), (s, e) -> if({_OPEN.format(c='s.cuts')},
   named_struct('cuts', {_CUT.format(c='s.cuts')}, 'late', s.late or e.watched), s))"""
@@ -317,24 +310,88 @@ _LONG_PASS = f"""aggregate(w.merges, named_struct('cuts', sequence(0L, w.n), 'la
 #: The same for words with a late edge: each step takes the best open edge of all.
 _STEPS = f"""aggregate(sequence(1L, w.n), sequence(0L, w.n), (c, step) -> aggregate(slice(filter(w.merges, e -> {_OPEN.format(c='c')}), 1, 1), c, (d, e) -> {_CUT.format(c='d')}))"""
 
-#: The boundaries, and the edges among which the symbols between them are.
-_CUTS = f"""if(w.n <= {BITS},
-  transform(array({_PASS}), s -> if(s.late, named_struct('cuts', {_STEPS}, 'kept', w.merges),
-    named_struct('cuts', {_BOUNDS}, 'kept', filter(w.merges, e -> (s.c & e.ends) = e.ends and bit_count(s.c & e.span) = 2)))),
-  transform(array({_LONG_PASS}), s -> named_struct('cuts', if(s.late, {_STEPS}, s.cuts), 'kept', w.merges)))"""
+#: The boundaries of a word: as bits, or as a list for longer words and those with a late edge.
+_FOLD = f"""transform(if(w.n <= {BITS}, transform(array({_PASS}), s -> named_struct('bits', s.c, 'late', s.late, 'cuts', cast(null as array<bigint>))),
+  transform(array({_LONG_PASS}), s -> named_struct('bits', 0L, 'late', s.late, 'cuts', s.cuts))),
+  x -> named_struct('word', w.word, 'bits', if(x.late, 0L, x.bits), 'cuts', if(x.late, {_STEPS}, x.cuts), 'ids', w.ids))[0]"""
+
+
+def lattices(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(w): the words of a table, of 1 to ``BITS`` characters, in the form that is folded: exploded into substrings, equi-joined to the piece table, grouped by word."""
+    order = sorted(((r.score, -r.id) for r in pieces.filter("score is not null").collect()), reverse=True)  # the vocabulary
+    ranks = words.sparkSession.createDataFrame([(-i, k) for k, (_, i) in enumerate(order)], "id int, rank long")
+    table = pieces.filter("score is not null and length(piece) > 1").join(F.broadcast(ranks), "id").select("piece", "id", "rank")
+    longest = table.agg(F.max(F.length("piece"))).first()[0] or 1
+    cut = f"flatten(transform(sequence(0, n - 2), s -> transform(sequence(2, least({longest}, n - s)), l -> named_struct('start', s, 'end', s + l, 'piece', substring(word, s + 1, l)))))"
+    edges = words.select("word", F.length("word").alias("n")).filter("n > 1").select("word", F.expr(f"inline({cut})")).join(F.broadcast(table), "piece")
+    ends = "(shiftleft(1L, start) | shiftleft(1L, end))"
+    edge = F.expr(f"named_struct('key', rank * {1 << 40}L + id * {1 << 20}L + start * 1024L + end, 'span', shiftleft(shiftleft(1L, end - start) - 1L, start) | {ends}, 'ends', {ends}, 'watched', true)")
+    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("merges"))  # the edges of one word
+    none = "cast(array() as array<struct<key:bigint,span:bigint,ends:bigint,watched:boolean>>)"
+    return words.join(grouped, "word", "left").select(F.expr(f"named_struct('word', word, 'n', cast(length(word) as bigint), 'merges', coalesce(merges, {none}), 'ids', cast(null as array<int>))").alias("w"))
 
-_SYMBOL_IDS = """flatten(transform(sequence(1, size(x.cuts) - 1), i -> case
-  when x.cuts[i] - x.cuts[i - 1] > 1 then transform(slice(filter(x.kept, e -> (e.key & 1048575L) = x.cuts[i - 1] * 1024L + x.cuts[i]), 1, 1), e -> cast(shiftright(e.key, 20) & 1048575L as int))
-  when w.chars[cast(x.cuts[i - 1] as int)] >= 0 then array(w.chars[cast(x.cuts[i - 1] as int)])
-  else transform(sequence(1, octet_length(substring(w.word, cast(x.cuts[i] as int), 1))),
-    k -> {first_byte} + cast(conv(substring(hex(encode(substring(w.word, cast(x.cuts[i] as int), 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) as int)) end))"""
 
+#: Rows from which common words are taken, and how many words: they are encoded once and every task starts with them.
+#: A word outside them is encoded by the task that meets it, so they change no result.
+COMMON_ROWS, COMMON = 4096, 1 << 17
+
+
+def common_words(docs: DataFrame, pieces: DataFrame, rows: int = COMMON_ROWS, most: int = COMMON) -> pa.Table:
+    """(word, bits, cuts, ids) of the most frequent words of a bounded number of rows, from their lattices as relations."""
+    words = text_docs(docs).limit(rows).select(F.explode(split_words(F.col("text"))).alias("word")).filter(F.length("word").between(1, BITS))
+    some = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lattices(some.repartition(parts, "word"), pieces).select(F.expr(_FOLD).alias("f")).select("f.*").toArrow()  # at most `most` short words
 
-def encoded_blocks(docs: DataFrame, pieces: DataFrame, kept: int = KEPT_WORDS) -> DataFrame:
-    """(ids of the block's new words, docs, known) of every block: lattices folded in the task that reads the block, with no shuffle."""
+
+def encoded_blocks(docs: DataFrame, pieces: DataFrame, common: list[str], kept: int = KEPT_WORDS) -> DataFrame:
+    """(folded, docs, known) of every block: the lattices of its new words folded in the task that reads the block, with no shuffle."""
     first_byte = pieces.filter("piece = '<0x00>'").first()["id"]
-    ids = f"transform(words, w -> coalesce(w.ids, transform({_CUTS}, x -> {_SYMBOL_IDS.format(first_byte=first_byte)})[0]))"
-    return text_docs(docs).mapInArrow(blocks(pieces, first_byte, kept), _BLOCK).selectExpr(f"{ids} AS ids", "docs", "known")
+    return text_docs(docs).mapInArrow(blocks(pieces, first_byte, common, kept), _BLOCK).selectExpr(f"transform(words, w -> {_FOLD}) AS folded", "docs", "known")
+
+
+def ids_of(folded: pa.StructArray, table: PieceHash, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, one after another, and where each word's end; the symbols between boundaries are looked up, characters without a piece become bytes."""
+    words, bits, cuts, given = (folded.field(name) for name in ("word", "bits", "cuts", "ids"))
+    text = words.to_pylist()
+    sizes = np.array([len(w) for w in text], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    points = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(text)), sizes)
+    mask = (bits.to_numpy(zero_copy_only=False)[owner] >> np.minimum(np.arange(len(points)) - first[owner], 62) & 1).astype(bool)
+    listed = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+    for i in listed.tolist():
+        at = cuts[i].values.to_numpy()[:-1]
+        mask[first[i] : first[i + 1]] = False
+        mask[first[i] + at] = True
+    start = np.flatnonzero(mask)
+    size = np.diff(np.append(start, len(points)))
+    found = np.full(len(start), -1, np.int64)
+    for length, known, spelled, ids, _ in table.by_length:
+        own = np.flatnonzero(size == length)
+        hashes = np.zeros(len(own), np.uint64)
+        for k in range(length):
+            hashes = hashes * _STEP + points[start[own] + k].astype(np.uint64) + np.uint64(1)
+        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        fits = (known[place] == hashes) & (points[start[own][:, None] + np.arange(length)] == spelled[place]).all(axis=1)
+        found[own] = np.where(fits, ids[place], -1)
+    extra = np.flatnonzero(found < 0)
+    raw = [chr(points[start[i]]).encode() for i in extra.tolist()]  # one character each
+    count = np.ones(len(start), np.int64)
+    count[extra] = [len(b) for b in raw]
+    values = np.repeat(found, count)
+    to = np.cumsum(count)
+    for i, b in zip(extra.tolist(), raw, strict=True):
+        values[to[i] - len(b) : to[i]] = np.frombuffer(b, np.uint8).astype(np.int64) + first_byte
+    each = np.bincount(owner[start], weights=count, minlength=len(text)).astype(np.int64) if len(text) else np.zeros(0, np.int64)
+    whole = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
+    if len(whole):  # words over LONGEST come with their ids
+        parts = np.split(values, np.cumsum(each)[:-1])
+        for i in whole.tolist():
+            parts[i] = given[i].values.to_numpy()
+            each[i] = len(parts[i])
+        values = np.concatenate(parts)
+    return values.astype(np.int32), np.concatenate([[0], np.cumsum(each)])
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -344,22 +401,23 @@ def _lists(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[np.repeat(ends[at] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
 
 
-def assembler(pieces: DataFrame):
+def assembler(pieces: DataFrame, common: tuple[np.ndarray, np.ndarray]):
     """Function for mapInArrow over folded blocks, in the order of their task: doc_id, words, ids, decoded of each document."""
-    rows = [(r.id, r.piece, r.score is None) for r in pieces.collect()]  # the vocabulary
+    rows = [(r.id, r.piece, r.score) for r in pieces.collect()]  # the vocabulary
+    first_byte = next(i for i, p, score in rows if score is None and p == "<0x00>")
 
     def run(batches):
-        raw = {i: bytes([int(p[3:5], 16)]) if byte else p.encode() for i, p, byte in rows}
+        table = PieceHash([(p, i, score) for i, p, score in rows if score is not None])
+        raw = {i: bytes([int(p[3:5], 16)]) if score is None else p.encode() for i, p, score in rows}
         spelled = [raw.get(i, b"") for i in range(max(raw) + 1)]
         letters, letter_ends = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([0, *map(len, spelled)])
-        held, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                fresh, docs = batch.column(0)[i].values, batch.column(1)[i].values
-                if not batch.column(2)[i].as_py():
-                    held, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-                held = np.concatenate([held, fresh.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-                ends = np.concatenate([ends, ends[-1] + np.cumsum(fresh.value_lengths().to_numpy(zero_copy_only=False))])
+                folded, docs = batch.column(0)[i].values, batch.column(1)[i].values
+                if batch.column(2)[i].as_py() == len(common[1]) - 1:
+                    held, ends = common
+                fresh, to = ids_of(folded, table, first_byte)
+                held, ends = np.concatenate([held, fresh]), np.concatenate([ends, ends[-1] + to[1:]])
                 at, n = docs.field(1).flatten().to_numpy(), docs.field(1).value_lengths().to_numpy(zero_copy_only=False)
                 words_to = np.cumsum([0, *n])
                 ids_to = np.concatenate([[0], np.cumsum(ends[at + 1] - ends[at])])[words_to]
@@ -378,7 +436,11 @@ def assembler(pieces: DataFrame):
 def encoded(docs: DataFrame, pieces: DataFrame, kind: str = "bpe", kept: int = KEPT_WORDS) -> DataFrame:
     """doc_id, words (number), ids, decoded of every row."""
     if kind == "bpe":
-        return encoded_blocks(docs, pieces, kept).mapInArrow(assembler(pieces), "doc_id bigint, words int, ids array<int>, decoded string")
+        rows = pieces.collect()  # the vocabulary
+        first_byte = next(r.id for r in rows if r.score is None and r.piece == "<0x00>")
+        folded = common_words(docs, pieces).to_struct_array().combine_chunks()
+        known = ids_of(folded, PieceHash([(r.piece, r.id, r.score) for r in rows if r.score is not None]), first_byte)
+        return encoded_blocks(docs, pieces, folded.field("word").to_pylist(), kept).mapInArrow(assembler(pieces, known), "doc_id bigint, words int, ids array<int>, decoded string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
     places = rows.select("doc_id", "digest", F.posexplode(split_words(F.col("text"))).alias("p", "word"))
