@@ -439,3 +439,46 @@ def test_licence_lines_of_any_length_and_of_repeated_ids(spark):
     assert (got.line_licences, got.n_lines) == ("BSD-3-Clause,two", 2)
     many = own + tuple((f"L{i}", f"known text number {i}") for i in range(licences.FEW))
     assert licences.licences(spark.createDataFrame([(1, "Known text, number 77!")], "doc_id long, text string"), many).first().text_licence == "L77"
+
+
+ARTICLE = "<article><h1>News of the day</h1><p>This is a sentence of the article with enough words to be read as text.</p></article>"
+SENTENCE = "This is a sentence of the article with enough words to be read as text."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>x</title><meta charset=utf-8>{ARTICLE}", f"<head><title>x</title><link rel=a>{ARTICLE}", f"<body><svg><path>{ARTICLE}",
+        f"<body><div><select><option>a</div>{ARTICLE}<select><option>b</select>", f"<title>never closed{ARTICLE}", f"<body><video><noscript>{ARTICLE}",
+        f"<body><div><canvas><div>gone</div></div>{ARTICLE}<canvas></canvas>", f"<head><noscript><p>no</p></noscript></head><body>{ARTICLE}</body>",
+    ],
+)
+def test_no_open_element_silences_the_article(page):
+    assert html.extract(page) == f"News of the day\n\n{SENTENCE}"
+
+
+def test_deep_and_long_pages_take_linear_room():
+    deep = "<div>" * 50_000 + ARTICLE + "</x>" * 50_000 + "<svg>" * 1000 + f"<p>{SENTENCE}</p>" * 2000
+    got = html.extract("<body>" + deep)
+    assert got.startswith("News of the day") and got.count(SENTENCE) == 2001
+    assert html.extract("<script>" + ARTICLE) == ""
+
+
+def test_html_edge_rows(spark):
+    rows = [(1, "u", ARTICLE, "x", 1), (1, "u", ARTICLE, "x", 1), (2, None, None, None, None), (None, "v", "", "x", 3), (3, "w", ARTICLE + f"<p>{SENTENCE}</p>" * 30_000, "t", 4)]
+    schema = "page_id long, url string, html string, text string, n_chars long"
+    got = html.main_text(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.text[:4], r.n_chars == len(r.text)) for r in got) == [(0, "v", "", True), (1, "u", "News", True), (1, "u", "News", True), (2, "", "", True), (3, "w", "News", True)]
+    assert html.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_label_is_the_cheapest_of_all_labellings(spark):
+    """op2's query against every labelling of the same blocks, costs and ties."""
+    page = "<body><nav><a href=/a>One</a></nav><div><p>A first sentence of some length, with words.</p><ul><li><a href=/b>Link</a></li></ul><p>Another one follows here, as long as it.</p></div><footer>(c) 2020</footer>"
+    found = html.blocks(page)
+    html.classify(found)
+    ties = html.ties(found)
+    value = lambda side: sum(max(b.cost, 0) if not s else max(-b.cost, 0) for b, s in zip(found, side, strict=True)) + sum(w for a, b, w in ties if side[a] != side[b])
+    best = min(([bool(m >> i & 1) for i in range(len(found))] for m in range(1 << len(found))), key=lambda s: (round(value(s), 9), s))
+    got = html.main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
+    assert got == "\n\n".join(b.text for b, s in zip(found, best, strict=True) if s) and got.startswith("A first")

@@ -6,15 +6,17 @@ the costs are terminal capacities, and neighbours in page order and blocks under
 element are tied by smoothness edges. The minimum cut separates content from boilerplate.
 
 A null or empty page, and one whose blocks are all boilerplate, has the empty text. Broken
-markup (unclosed or stray tags, unterminated comments) never raises. Pages are independent:
-repeated rows give repeated results.
+markup (unclosed or stray tags, unterminated comments) never raises, and an element that is
+never closed doesn't silence the rest of its page (scripts and styles do, as in browsers).
+Pages are independent: repeated rows and repeated ids give repeated results, an empty table
+none, other columns are not read, and a page of any length or depth is read whole.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +28,10 @@ from .common import pieces
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?", re.DOTALL)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea option datalist title head".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea option datalist title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: Raw elements that run to the page's end if they are not closed.
+UNENDING = frozenset(("script", "style"))
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul label input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that a start tag ends.
@@ -41,10 +45,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Element:
-    __slots__ = ("tag", "bias", "article", "hard", "level")
+    __slots__ = ("tag", "bias", "article", "hard", "level", "parent")
 
-    def __init__(self, tag, bias, article, hard, level):
-        self.tag, self.bias, self.article, self.hard, self.level = tag, bias, article, hard, level
+    def __init__(self, tag, bias, article, hard, parent):
+        self.tag, self.bias, self.article, self.hard, self.parent = tag, bias, article, hard, parent
+        self.level = parent.level + 1 if parent else 0
 
 
 def _element(tag: str, attrs: str, parent: _Element) -> _Element:
@@ -65,29 +70,43 @@ def _element(tag: str, attrs: str, parent: _Element) -> _Element:
             bias -= 8
         elif _GOOD.search(names):
             bias += 3
-    return _Element(tag, bias, article, hard, parent.level + 1)
+    return _Element(tag, bias, article, hard, parent)
 
 
 class Block:
-    __slots__ = ("text", "path", "linked", "cost")
+    """A text, the element that holds it, and how many of its characters are links."""
 
-    def __init__(self, text, path, linked):
-        self.text, self.path, self.linked = text, path, linked
+    __slots__ = ("text", "top", "linked", "cost")
+
+    def __init__(self, text, top, linked):
+        self.text, self.top, self.linked = text, top, linked
         self.cost = 0.0
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, white space collapsed, character references decoded."""
-    root = _Element("", 0, False, False, 0)
+    """The text blocks of a page in order, white space collapsed, character references decoded.
+
+    A silent element ends with its end tag or with that of an element it lies in; one whose end tag never
+    comes is no element at all, so that it can't silence the rest of the page.
+    """
+    root = _Element("", 0, False, False, None)
     stack, out, text, linked = [root], [], [], 0
     in_link, silent, at = False, None, 0
+    open_tags: Counter = Counter()  # of the stack
+    inner: Counter = Counter()  # opened within the silent element
+    lower, last_end = page.lower(), {}
+
+    def closes(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = lower.rfind(f"</{tag}")
+        return last_end[tag] >= at
 
     def flush():
         nonlocal linked
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, tuple(stack), linked))
+                out.append(Block(joined, stack[-1], linked))
             text.clear()
         linked = 0
 
@@ -98,9 +117,12 @@ def blocks(page: str) -> list[Block]:
             linked += len(piece.strip())
 
     def end(tags):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
+        if not any(open_tags[t] for t in tags):
+            return
+        while True:
+            tag = stack.pop().tag
+            open_tags[tag] -= 1
+            if tag in tags:
                 return
 
     while True:
@@ -119,20 +141,27 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing, attrs = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if silent is not None:
-            if closing and tag == silent or silent == "head" and tag == "body":
+            if not closing:
+                if tag in BLOCK and tag not in VOID:
+                    inner[tag] += 1
+                continue
+            if tag == silent:
                 silent = None
-            if silent is not None or closing:
-                if silent == "head" and not closing and tag in RAW:
-                    at = _past(page, at, tag)
                 continue
+            if inner[tag]:
+                inner[tag] -= 1
+                continue
+            if not open_tags[tag]:
+                continue
+            silent = None
         if tag in SILENT:
-            if tag == "option" or attrs.endswith("/") and tag not in RAW:
+            if tag == "option" or closing or attrs.endswith("/") and tag not in RAW:
                 continue
-            if not closing:
-                if tag in RAW:
-                    at = _past(page, at, tag)
-                else:
-                    silent = tag
+            if tag in RAW:
+                at = _past(page, at, tag) if closes(tag) else len(page) if tag in UNENDING else _next_tag(page, at)
+            elif closes(tag):
+                silent = tag
+                inner.clear()
             continue
         if tag == "a":
             in_link = not closing
@@ -148,15 +177,22 @@ def blocks(page: str) -> list[Block]:
             end({tag})
             continue
         if tag not in KEEPS_P_OPEN and stack[-1].tag == "p":
-            stack.pop()
+            end({"p"})
         if tag in ENDS and stack[-1].tag in ENDS[tag]:
             end(ENDS[tag])
         if tag not in VOID:
             stack.append(_element(tag, attrs, stack[-1]))
+            open_tags[tag] += 1
     flush()
     return out
 
 
+def _next_tag(page: str, at: int) -> int:
+    """Where the next tag begins, or the page's end."""
+    found = page.find("<", at)
+    return len(page) if found < 0 else found
+
+
 def _past(page: str, at: int, tag: str) -> int:
     """Behind the end tag of a raw element, or the page's end."""
     m = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
@@ -166,7 +202,7 @@ def _past(page: str, at: int, tag: str) -> int:
 def classify(found: list[Block]) -> None:
     """cost > 0: the evidence for content, < 0: for boilerplate, in nats."""
     for b in found:
-        top = b.path[-1]
+        top = b.top
         words = b.text.count(" ") + 1
         cost = -0.8 + top.bias + min(words, 40) * 0.06
         if top.tag in ("p", "pre", "blockquote", "h1", "h2", "h3"):
@@ -183,9 +219,14 @@ def classify(found: list[Block]) -> None:
 
 def _tie(a: Block, b: Block) -> float:
     """Smoothness of neighbours: strong under one element, weak across the page."""
-    depth = max(len(a.path), len(b.path))
-    same = sum(x is y for x, y in zip(a.path, b.path, strict=False))
-    return 1.2 * (same / depth) ** 2 if depth else 0.0
+    x, y = a.top, b.top
+    depth = max(x.level, y.level) + 1
+    while x is not y:  # up to the innermost element that holds both
+        if x.level >= y.level:
+            x, y = x.parent, y
+        else:
+            y = y.parent
+    return 1.2 * ((x.level + 1) / depth) ** 2
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -259,15 +300,20 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     classify(found)
+    side = min_cut([b.cost for b in found], ties(found))
+    return "\n\n".join(b.text for b, keep in zip(found, side, strict=True) if keep)
+
+
+def ties(found: list[Block]) -> list[tuple[int, int, float]]:
+    """The smoothness edges: neighbours in page order, and the next block under the same element."""
     edges = [(i, i + 1, _tie(found[i], found[i + 1])) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, b in enumerate(found):
-        k = id(b.path[-2] if b.path[-1].tag == "p" or len(b.path) > 2 else b.path[-1])
+        k = id(b.top.parent if b.top.tag == "p" or b.top.level > 1 else b.top)
         if k in last and last[k] < i - 1:
             edges.append((last[k], i, 0.6))
         last[k] = i
-    side = min_cut([b.cost for b in found], edges)
-    return "\n\n".join(b.text for b, keep in zip(found, side, strict=True) if keep)
+    return edges
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
