@@ -482,3 +482,11 @@ def test_label_is_the_cheapest_of_all_labellings(spark):
     best = min(([bool(m >> i & 1) for i in range(len(found))] for m in range(1 << len(found))), key=lambda s: (round(value(s), 9), s))
     got = html.main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
     assert got == "\n\n".join(b.text for b, s in zip(found, best, strict=True) if s) and got.startswith("A first")
+
+
+def test_words_of_a_block_are_the_words_of_its_texts():
+    rng = random.Random(2)
+    texts = [None, "", " ", "  a", "a\n\n b ", "\n", "▁▁ a▁b"] + ["".join(rng.choice("ab  \n▁é") for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for some in (texts, [*texts, "a\0b c"]):
+        ends, words, of = pieces_lattice.block_words(pa.array(some, pa.string()))
+        assert [[words[k] for k in of[a:b]] for a, b in zip(ends, ends[1:])] == [pieces_lattice.words_of(t) for t in some]  # noqa: B905

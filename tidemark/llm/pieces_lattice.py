@@ -22,11 +22,12 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from array import array
+from collections import Counter
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +139,26 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(SPACE + text.replace(" ", SPACE))
 
 
+def block_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Where each text's words end, the distinct words, and which of them each word is."""
+    if pc.any(pc.match_substring(texts, "\0")).as_py():  # the sign that parts words below
+        found = [words_of(t) for t in texts.to_pylist()]
+        flat = pa.array([w for f in found for w in f], pa.string())
+        ends = np.cumsum([0, *map(len, found)])
+    else:
+        marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(SPACE, texts, ""))
+        for old, new in ((" ", SPACE), (SPACE, "\0" + SPACE), (SPACE + "\0", SPACE), ("\n", "\0\n\0")):
+            marked = pc.replace_substring(marked, old, new)
+        lists = pc.split_pattern(pc.fill_null(marked, ""), "\0")
+        flat = lists.flatten()
+        full = pc.not_equal(flat, "")
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=full.to_numpy(zero_copy_only=False), minlength=len(lists)))]).astype(np.int64)
+        flat = flat.filter(full)
+    coded = flat.dictionary_encode()
+    return ends, coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
 def merged(word: str, ranks: dict[str, int], ids: dict[str, int], first_byte: int) -> list[int]:
     """Ids of one word of any length: the best of all pairs of neighbours that spell a piece is merged until there is none.
 
@@ -276,11 +297,9 @@ def blocks(pieces: DataFrame, first_byte: int, common: list[str], kept: int = KE
                 if len(seen) - len(start) > kept:
                     seen = _Places(start)
                 known = len(seen)
-                ends, at = [0], array("i")
-                for text in part.column(1).to_pylist():
-                    at.extend(map(seen.__getitem__, words_of(text)))
-                    ends.append(len(at))
-                at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(at, np.int32)))
+                ends, distinct, of = block_words(part.column(1))
+                places = np.fromiter(map(seen.__getitem__, distinct), np.int32, len(distinct))
+                at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places[of]))
                 docs = pa.StructArray.from_arrays([part.column(0), at], ["doc_id", "at"])
                 fresh = list(islice(reversed(seen), len(seen) - known))[::-1]
                 words = edges_of([w if len(w) <= LONGEST else "" for w in fresh], table)
@@ -331,17 +350,20 @@ def lattices(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return words.join(grouped, "word", "left").select(F.expr(f"named_struct('word', word, 'n', cast(length(word) as bigint), 'merges', coalesce(merges, {none}), 'ids', cast(null as array<int>))").alias("w"))
 
 
-#: Rows from which common words are taken, and how many words: they are encoded once and every task starts with them.
-#: A word outside them is encoded by the task that meets it, so they change no result.
-COMMON_ROWS, COMMON = 4096, 1 << 17
+#: Words of text among which common ones are looked for, and how many are taken: they are encoded once and every task
+#: starts with them. A word outside them is encoded by the task that meets it, so they change no result.
+LOOKED_AT, COMMON = 1 << 20, 1 << 17
 
 
-def common_words(docs: DataFrame, pieces: DataFrame, rows: int = COMMON_ROWS, most: int = COMMON) -> pa.Table:
-    """(word, bits, cuts, ids) of the most frequent words of a bounded number of rows, from their lattices as relations."""
-    words = text_docs(docs).limit(rows).select(F.explode(split_words(F.col("text"))).alias("word")).filter(F.length("word").between(1, BITS))
-    some = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lattices(some.repartition(parts, "word"), pieces).select(F.expr(_FOLD).alias("f")).select("f.*").toArrow()  # at most `most` short words
+def common_words(docs: DataFrame, pieces: DataFrame, looked_at: int = LOOKED_AT, most: int = COMMON) -> pa.Table:
+    """(word, bits, cuts, ids) of the most frequent words of a bounded stretch of text, from their lattices as relations."""
+    spark = docs.sparkSession
+    met = text_docs(docs).select(F.explode(split_words(F.col("text"))).alias("word")).filter(F.length("word").between(1, BITS))
+    counts = Counter(r[0] for r in met.take(looked_at))  # reads as many partitions as it needs; at most `looked_at` short words
+    some = sorted(w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = spark.createDataFrame(pa.table({"word": pa.array(some, pa.string())})).repartition(parts, "word")
+    return lattices(words, pieces).select(F.expr(_FOLD).alias("f")).select("f.*").toArrow()  # at most `most` short words
 
 
 def encoded_blocks(docs: DataFrame, pieces: DataFrame, common: list[str], kept: int = KEPT_WORDS) -> DataFrame:
