@@ -22,7 +22,6 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from collections import Counter
 from itertools import islice
 
 import numpy as np
@@ -350,16 +349,18 @@ def lattices(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return words.join(grouped, "word", "left").select(F.expr(f"named_struct('word', word, 'n', cast(length(word) as bigint), 'merges', coalesce(merges, {none}), 'ids', cast(null as array<int>))").alias("w"))
 
 
-#: Words of text among which common ones are looked for, and how many are taken: they are encoded once and every task
-#: starts with them. A word outside them is encoded by the task that meets it, so they change no result.
-LOOKED_AT, COMMON = 1 << 20, 1 << 17
+#: Rows in whose texts, and the longest text in which, common words are looked for, and how many are taken: they are
+#: encoded once and every task starts with them. A word outside them is encoded by the task that meets it, so they
+#: change no result.
+LOOKED_AT, LOOKED_AT_CHARS, COMMON = 2048, 20_000, 1 << 17
 
 
 def common_words(docs: DataFrame, pieces: DataFrame, looked_at: int = LOOKED_AT, most: int = COMMON) -> pa.Table:
-    """(word, bits, cuts, ids) of the most frequent words of a bounded stretch of text, from their lattices as relations."""
+    """(word, bits, cuts, ids) of the most frequent words of a bounded number of texts, from their lattices as relations."""
     spark = docs.sparkSession
-    met = text_docs(docs).select(F.explode(split_words(F.col("text"))).alias("word")).filter(F.length("word").between(1, BITS))
-    counts = Counter(r[0] for r in met.take(looked_at))  # reads as many partitions as it needs; at most `looked_at` short words
+    texts = text_docs(docs).filter(F.length("text") <= LOOKED_AT_CHARS).select("text").take(looked_at)  # reads as many partitions as it needs
+    _, distinct, of = block_words(pa.array([r[0] for r in texts], pa.string()))
+    counts = {w: n for w, n in zip(distinct, np.bincount(of, minlength=len(distinct)).tolist(), strict=True) if len(w) <= BITS}
     some = sorted(w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = spark.createDataFrame(pa.table({"word": pa.array(some, pa.string())})).repartition(parts, "word")
