@@ -209,11 +209,24 @@ class PieceHash:
             self.by_length.append((length, hashes[order], points[order], ids, ranks))
 
 
+_built: dict[int, PieceHash] = {}
+
+
+def piece_hash(rows: list[tuple[str, int, float]]) -> PieceHash:
+    """The table of these rows; a worker keeps the last one for its next tasks."""
+    key = hash(tuple(rows))
+    if key not in _built:
+        table = PieceHash(rows)
+        _built.clear()
+        _built[key] = table
+    return _built[key]
+
+
 def edges_of(words: list[str], table: PieceHash) -> pa.Array:
     """The lattice of each word: its substrings of bounded length joined to the piece table, grouped by word.
 
     A substring that no piece begins with is not made longer."""
-    sizes = np.array([len(w) for w in words], np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     first = np.concatenate([[0], np.cumsum(sizes)])
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -286,7 +299,7 @@ def blocks(pieces: DataFrame, first_byte: int, common: list[str], kept: int = KE
     rows = [(r.piece, r.id, r.score) for r in pieces.filter("score is not null").collect()]  # the vocabulary: tens of thousands of rows
 
     def run(batches):
-        table = PieceHash(rows)
+        table = piece_hash(rows)
         ids = {p: i for p, i, _ in rows}
         ranks = {p: k for k, (p, _, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
         start = {w: i for i, w in enumerate(common)}
@@ -301,8 +314,11 @@ def blocks(pieces: DataFrame, first_byte: int, common: list[str], kept: int = KE
                 at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places[of]))
                 docs = pa.StructArray.from_arrays([part.column(0), at], ["doc_id", "at"])
                 fresh = list(islice(reversed(seen), len(seen) - known))[::-1]
-                words = edges_of([w if len(w) <= LONGEST else "" for w in fresh], table)
-                longer = pa.array([merged(w, ranks, ids, first_byte) if len(w) > LONGEST else None for w in fresh], pa.list_(pa.int32()))
+                longer = pa.nulls(len(fresh), pa.list_(pa.int32()))
+                if max(map(len, fresh), default=0) > LONGEST:
+                    longer = pa.array([merged(w, ranks, ids, first_byte) if len(w) > LONGEST else None for w in fresh], pa.list_(pa.int32()))
+                    fresh = [w if len(w) <= LONGEST else "" for w in fresh]
+                words = edges_of(fresh, table)
                 words = pa.StructArray.from_arrays([*words.flatten(), longer], [*(f.name for f in words.type), "ids"])
                 columns = [words, docs]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
@@ -352,7 +368,7 @@ def lattices(words: DataFrame, pieces: DataFrame) -> DataFrame:
 #: Rows in whose texts, and the longest text in which, common words are looked for, and how many are taken: they are
 #: encoded once and every task starts with them. A word outside them is encoded by the task that meets it, so they
 #: change no result.
-LOOKED_AT, LOOKED_AT_CHARS, COMMON = 2048, 20_000, 1 << 17
+LOOKED_AT, LOOKED_AT_CHARS, COMMON = 4096, 20_000, 1 << 18
 
 
 def common_words(docs: DataFrame, pieces: DataFrame, looked_at: int = LOOKED_AT, most: int = COMMON) -> pa.Table:
@@ -377,7 +393,7 @@ def ids_of(folded: pa.StructArray, table: PieceHash, first_byte: int) -> tuple[n
     """Ids of all words, one after another, and where each word's end; the symbols between boundaries are looked up, characters without a piece become bytes."""
     words, bits, cuts, given = (folded.field(name) for name in ("word", "bits", "cuts", "ids"))
     text = words.to_pylist()
-    sizes = np.array([len(w) for w in text], np.int64)
+    sizes = np.fromiter(map(len, text), np.int64, len(text))
     first = np.concatenate([[0], np.cumsum(sizes)])
     points = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(text)), sizes)
@@ -430,7 +446,7 @@ def assembler(pieces: DataFrame, common: tuple[np.ndarray, np.ndarray]):
     first_byte = next(i for i, p, score in rows if score is None and p == "<0x00>")
 
     def run(batches):
-        table = PieceHash([(p, i, score) for i, p, score in rows if score is not None])
+        table = piece_hash([(p, i, score) for i, p, score in rows if score is not None])
         raw = {i: bytes([int(p[3:5], 16)]) if score is None else p.encode() for i, p, score in rows}
         spelled = [raw.get(i, b"") for i in range(max(raw) + 1)]
         letters, letter_ends = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([0, *map(len, spelled)])
