@@ -490,3 +490,23 @@ def test_words_of_a_block_are_the_words_of_its_texts():
     for some in (texts, [*texts, "a\0b c"]):
         ends, words, of = pieces_lattice.block_words(pa.array(some, pa.string()))
         assert [[words[k] for k in of[a:b]] for a, b in zip(ends, ends[1:])] == [pieces_lattice.words_of(t) for t in some]  # noqa: B905
+
+
+def test_neighbours_of_large_and_double_vectors(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 8))
+    x[17], x[40, 3], x[60] = x[17] * 1e20, 1e150, x[60] * 1e-200
+    x[100:105] += 1e-12 * rng.normal(size=(5, 8))
+    rows = [(i, v.tolist(), 1, 2.0, "x") for i, v in enumerate(x)] + [(20, x[20].tolist(), 1, 2.0, "x"), (None, x[0].tolist(), 1, 2.0, "x"), (2000, [1.0, 2.0], 1, 2.0, "x"), (2001, [3.0, 2.0], 1, 2.0, "x")]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long, score double, shard string")).toPandas()
+    assert got[got.query_id == 2000].vec_id.tolist() == [2001]
+    got = got[got.query_id != 2000]
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(300), -s))[:20]
+        g = g.sort_values("rank")
+        assert len(set(g.vec_id)) == 20 == len(g) and np.allclose(g.score, s[g.vec_id], rtol=1e-12)
+        hit += len(set(want) & set(g.vec_id))
+    assert got.query_id.nunique() == 15 and hit / (15 * 20) >= 0.97

@@ -42,6 +42,14 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def only(self, df: DataFrame, label: str) -> DataFrame:
+        """The result as a table; all other tables go."""
+        out = self.table(df, label)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        self.drop(*(n for n in (f.getPath().getName() for f in found) if n != label))
+        return out
+
     def drop(self, *labels: str) -> None:
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()

@@ -1,14 +1,20 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards of bounded size by a digest. In each shard a graph is
-grown in batches: a greedy beam search proposes neighbours, and relaxed distance pruning
+Distinct vectors are dealt to shards of bounded size by length, order of magnitude of their
+largest component (so that no large vector blurs the others of its shard) and a digest. In
+each shard a graph is grown in batches: a greedy beam search proposes neighbours, and relaxed distance pruning
 keeps an edge only if no kept edge is nearer to its end by the factor alpha, so that diverse
-directions stay. Queries go in blocks to every shard, beam search answers them there, and the
-shards' answers merge. Inner product becomes distance by one more coordinate.
+directions stay. A shard's vectors and the blocks of queries are sorted into one task, which
+builds the graph, answers block after block by beam search and lets the graph go: no graph
+is moved or stored. The shards' answers merge. Inner product becomes distance by one more
+coordinate; graphs are built of single-precision vectors scaled by their shard's largest
+norm, scores are inner products of the original vectors in double precision.
 
 Equal vectors are one node; of its copies the smallest ids answer. Vectors that are null,
 empty, zero or hold null or non-finite components take no part, neither as query nor as
-candidate. Only vectors of equal length meet. Ties go to the smaller id.
+candidate, nor do rows without an id. Only vectors of equal length meet. Ties go to the
+smaller id. Rows that repeat id and vector are one row; other vectors of a query's own id are
+no neighbours of it, and one that would stand among its k nearest shortens its list.
 """
 
 from __future__ import annotations
@@ -23,13 +29,25 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SHARD, BLOCK = 8192, 512
+#: Parts into which the copies of one vector are dealt before the smallest ids of all are taken.
+SALTS = 64
 DEGREE, BUILD_BEAM, BEAM, ALPHA, ENTRIES = 48, 96, 192, 1.2, 24
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
-    """One more coordinate makes all norms equal: nearest by distance is largest by inner product."""
+    """One more coordinate makes all norms equal: nearest by distance is largest by inner product.
+
+    All is divided by the largest norm, so that no square leaves the range of single precision."""
+    x = unit(x.astype(np.float64), np.abs(x).max())
     norm = (x * x).sum(1)
-    return np.hstack([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]]).astype(np.float32)
+    x = np.hstack([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]])
+    return (x / np.sqrt(norm.max())).astype(np.float32)
+
+
+def unit(x: np.ndarray, by) -> np.ndarray:
+    """x / by, where by may be near the ends of the range of doubles."""
+    two = 2.0 ** np.floor(np.log2(by) / 2)
+    return x / two / (by / two)
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, width: int, entries: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -130,40 +148,60 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     return graph, entry
 
 
-def _shard(table: pa.Table) -> pa.Table:
-    ids = table.column("rep").to_numpy()
-    order = np.argsort(ids)
-    x = np.array(table.column("v").to_pylist(), np.float32)[order]
-    graph, entry = build_graph(lifted(x))
-    return pa.table({
-        "shard": table.column("shard").slice(0, 1), "dim": pa.array([x.shape[1]], pa.int32()), "entry": pa.array([entry], pa.int32()),
-        "ids": pa.array([ids[order].tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([graph.tobytes()], pa.binary()),
-    })
-
-
 def _block(table: pa.Table) -> pa.Table:
+    """The queries of one block as one row."""
     ids = table.column("rep").to_numpy()
-    x = np.array(table.column("v").to_pylist(), np.float32)
+    x = _matrix(table.column("v").combine_chunks())
     return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "qids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([x.tobytes()], pa.binary())})
 
 
-def _answers(k: int, beam: int):
+def _matrix(lists: pa.Array) -> np.ndarray:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _answer(ids: np.ndarray, x: np.ndarray, points: np.ndarray, graph: np.ndarray, entry: int, qids: np.ndarray, q: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+    """The k nearest nodes found of each query of a block."""
+    wide = unit(q, np.abs(q).max(axis=1, keepdims=True))  # a query's length changes no order
+    wide /= np.sqrt((wide * wide).sum(1, keepdims=True))
+    found, _ = beam_search(points, graph, entry, np.hstack([wide, np.zeros((len(q), 1))]).astype(np.float32), max(beam, k), True)
+    score = np.einsum("qcd,qd->qc", x[np.maximum(found, 0)], q)
+    near = ids[np.maximum(found, 0)]
+    order = np.lexsort((near, -np.where(found < 0, -np.inf, score), found < 0), axis=1)[:, :k]
+    ok = (np.take_along_axis(found, order, 1) >= 0).ravel()
+    near, score = np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, near.shape[1])[ok]), pa.array(near.ravel()[ok]), pa.array(score.ravel()[ok])], names=["qrep", "rep", "score"])
+
+
+def _shards(k: int, beam: int):
+    """Over rows sorted by shard, vectors before blocks of queries: builds each shard's graph once and answers its blocks one by one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, vectors, built = None, [], [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                x = np.frombuffer(r["x"], np.float32).reshape(-1, dim)
-                q = np.frombuffer(r["q"], np.float32).reshape(-1, dim)
-                graph = np.frombuffer(r["graph"], np.int32).reshape(len(x), -1)
-                found, _ = beam_search(lifted(x), graph, r["entry"], np.hstack([q, np.zeros((len(q), 1), np.float32)]), max(beam, k), True)
-                score = np.einsum("qcd,qd->qc", x[np.maximum(found, 0)].astype(np.float64), q.astype(np.float64))
-                score[found < 0] = -np.inf
-                near = ids[np.maximum(found, 0)]
-                order = np.lexsort((near, -score), axis=1)[:, :k]
-                near, score = np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1)
-                ok = np.isfinite(score).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, near.shape[1])[ok]), pa.array(near.ravel()[ok]), pa.array(score.ravel()[ok])], names=["qrep", "rep", "score"])
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            names, kinds = col["shard"].to_pylist(), col["block"].to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(names):
+                if names[at] != shard:
+                    shard, ids, vectors, built = names[at], [], [], None
+                if kinds[at] < 0:
+                    to = at + 1
+                    while to < len(names) and names[to] == shard and kinds[to] < 0:
+                        to += 1
+                    ids.append(col["rep"].slice(at, to - at).to_numpy())
+                    vectors.append(_matrix(col["v"].slice(at, to - at)))
+                    at = to
+                    continue
+                if built is None:
+                    order = np.argsort(np.concatenate(ids))
+                    x = np.concatenate(vectors)[order]
+                    points = lifted(x)
+                    built = (np.concatenate(ids)[order], x, points, *build_graph(points))
+                dim = built[1].shape[1]
+                yield _answer(*built, np.frombuffer(col["qids"][at].as_py(), np.int64), np.frombuffer(col["q"][at].as_py(), np.float64).reshape(-1, dim), k, beam)
+                at += 1
 
     return run
 
@@ -172,32 +210,45 @@ def nearest(vectors: DataFrame, k: int = 20, query_step: int = 20, shard: int =
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``query_step``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
+    number = "array<double>" if "double" in vectors.schema["embedding"].dataType.simpleString() else "array<float>"
     fine = (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
-        .filter("vec_id is not null and v is not null and forall(v, e -> e is not null and not isnan(e) and abs(e) < float('infinity')) and exists(v, e -> e <> 0)")
+        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(number).alias("v"))
+        .filter("vec_id is not null and v is not null and forall(v, e -> e is not null and not isnan(e) and abs(e) < double('infinity')) and exists(v, e -> e <> 0)")
+        .withColumn("v", F.transform("v", lambda e: e + F.lit(0.0).cast(number[6:-1])))  # one zero
     )
-    nodes = scratch.table(fine.groupBy("v").agg(F.min("vec_id").alias("rep")), "nodes")
-    members = scratch.table(fine.join(nodes, "v").select("vec_id", "rep"), "members")
-    shards = max(1, -(-nodes.count() // shard))
-    dealt = nodes.withColumn("shard", F.concat_ws(":", F.size("v"), F.pmod(F.xxhash64("rep"), F.lit(shards))))
-    graphs = scratch.table(
-        dealt.groupBy("shard").applyInArrow(_shard, "shard string, dim int, entry int, ids binary, x binary, graph binary"), "graphs"
-    )
+    mark = [F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")]
+    band = F.floor((F.log2(F.array_max(F.transform("v", F.abs)).cast("double")) + 1) / 2).cast("int")
+    nodes = scratch.table(fine.groupBy("v").agg(F.min("vec_id").alias("rep")).withColumns({"dim": F.size("v"), "band": band}), "nodes")
+    members = scratch.table(fine.select("vec_id", *mark).join(nodes.select("rep", *mark), ["h1", "h2"]).select("vec_id", "rep").distinct(), "members")
     asked = members.filter(F.col("vec_id") % query_step == 0)
-    asking = nodes.join(asked.select("rep").distinct(), "rep")
-    parts = max(1, -(-asking.count() // BLOCK))
-    blocks = asking.groupBy(F.size("v").alias("d"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(parts)).alias("b")).applyInArrow(_block, "dim int, qids binary, q binary")
-    sent = blocks.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.concat_ws(":", "dim", i))))
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if asked.isEmpty():
+        return scratch.only(spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), "answers")
+    plan, spans, first = [], {}, 0
+    for r in nodes.groupBy("dim", "band").count().orderBy("dim", "band").collect():  # a row for each length and order of magnitude
+        n = -(-r["count"] // shard)
+        plan.append((r["dim"], r["band"], first, n))
+        spans[r["dim"]] = (spans.get(r["dim"], (first, 0))[0], first + n - 1)
+        first += n
+    dealt = nodes.join(F.broadcast(spark.createDataFrame(plan, "dim int, band int, first int, n int")), ["dim", "band"])
+    dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64("rep"), F.col("n"))).cast("int").alias("shard"), F.lit(-1).alias("block"), "rep", "v")
+    asking = scratch.table(nodes.join(asked.select("rep").distinct(), "rep"), "asking")
+    n_blocks = max(1, -(-asking.count() // BLOCK))
+    blocks = asking.groupBy("dim", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(n_blocks)).alias("b")).applyInArrow(_block, "dim int, qids binary, q binary")
+    reach = spark.createDataFrame([(d, lo, hi) for d, (lo, hi) in spans.items()], "dim int, lo int, hi int")
+    sent = blocks.join(F.broadcast(reach), "dim").select(F.explode(F.sequence("lo", "hi")).alias("shard"), F.lit(0).alias("block"), "qids", "q")
+    rows = dealt.unionByName(sent, allowMissingColumns=True).select("shard", "block", "rep", "v", "qids", "q")
     found = scratch.table(
-        sent.join(graphs.drop("dim"), "shard").repartition(max(spread, 1)).mapInArrow(_answers(k + 1, beam), "qrep long, rep long, score double"), "found"
+        rows.repartitionById(first, "shard").sortWithinPartitions("shard", "block").mapInArrow(_shards(k + 1, beam), "qrep long, rep long, score double"), "found"
     )
     by_rep = Window.partitionBy("qrep").orderBy(F.desc("score"), "rep")
     best = found.withColumn("r", F.row_number().over(by_rep)).filter(F.col("r") <= k + 1).drop("r")
-    copies = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).filter(F.col("r") <= k + 1).drop("r")
+    some = members.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    for by in (["rep", "salt"], ["rep"]):
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).filter(F.col("r") <= k + 1).drop("r")
     by_row = Window.partitionBy("qrep").orderBy(F.desc("score"), "vec_id")
-    lists = best.join(copies, "rep").withColumn("r", F.row_number().over(by_row)).filter(F.col("r") <= k + 1).select("qrep", "vec_id", "score", "r")
+    lists = best.join(some.drop("salt"), "rep").withColumn("r", F.row_number().over(by_row)).filter(F.col("r") <= k + 1).select("qrep", "vec_id", "score", "r")
     packed = lists.groupBy("qrep").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))  # k + 1 at most
     own = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("qrep")).join(packed, "qrep")
     kept = own.select("query_id", F.slice(F.filter("near", lambda e: e["vec_id"] != F.col("query_id")), 1, k).alias("near"))
-    return kept.select("query_id", F.posexplode("near").alias("p", "e")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
+    out = kept.select("query_id", F.posexplode("near").alias("p", "e")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
+    return scratch.only(out, "answers")
