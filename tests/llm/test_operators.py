@@ -510,3 +510,45 @@ def test_neighbours_of_large_and_double_vectors(spark):
         assert len(set(g.vec_id)) == 20 == len(g) and np.allclose(g.score, s[g.vec_id], rtol=1e-12)
         hit += len(set(want) & set(g.vec_id))
     assert got.query_id.nunique() == 15 and hit / (15 * 20) >= 0.97
+
+
+def test_jaccard_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    text = lambda w, n=40: " ".join(f"{w}{rng.randint(0, 9)}{k}" for k in range(n))
+    a, b, c, d = text("a"), text("b"), text("c"), text("d")
+    rows = [(9, a), (4, a + " end"), (4, b), (7, b), (4, b), (None, c), (3, c), (None, d), (None, d), (5, None), (5, ""), (None, None), (8, text("e"))]
+    got = jaccard.jaccard_components(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, row long, group long, node long")).collect()
+    want = [(9, 4), (4, 4), (4, 4), (7, 4), (4, 4), (None, 3), (3, 3), (None, None), (None, None), (5, 5), (5, 5), (None, None), (8, 8)]
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_long_words_made_to_hash_alike_differ(spark):
+    tail = " some other words that follow it here"
+    thue = ["".join("ab"[bin(i).count("1") & 1] for i in range(2048)), "".join("ba"[bin(i).count("1") & 1] for i in range(2048))]
+    rows = [(i, t + tail) for i, t in enumerate(thue)] + [(i + 5, t) for i, t in enumerate(thue)]
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0: 0, 1: 0, 5: 5, 6: 6} | ({1: 1} if brute_components(rows)[1][1] == 1 else {})
+
+
+def test_learners_take_one_row_of_an_id(spark):
+    rows = [(i % 40, f"{'alpha beta' if i % 2 else 'gamma delta'} {i % 40}", "xx" if i % 2 else "yy") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    solve, language.solve = language.solve, lambda bits, labels: seen.append(len(labels)) or solve(bits, labels)
+    fit, toxicity.fit = toxicity.fit, lambda x, y, change, **o: seen.append(len(y)) or fit(x, y, change, **o)
+    try:
+        language.train(docs)
+        toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    finally:
+        language.solve, toxicity.fit = solve, fit
+    assert 30 <= seen[0] <= 40 and seen[1] == 40
+    many = spark.createDataFrame([(i, f"word{i} text", f"l{i % 9}") for i in range(900)], "doc_id long, text string, lang string")
+    assert language.train(many, languages=4)["langs"] == ["l0", "l1", "l2", "l3"]
+
+
+def test_spans_of_other_secrets_and_of_texts_beyond_ascii():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIabc+/12" * 6 + "=\n"
+    text = "é" * 9 + pem + "門 " + "é token=abcdef1 " * 3000
+    got = [(secrets.RULES[r][0], text[s:e]) for s, r, e in secrets.spans(text)]
+    assert got == [("key", pem)] + [("assign", "token=abcdef1")] * 3000
+    assert secrets.redact(text) == "é" * 9 + "[SECRET]門 " + "é [SECRET] " * 3000

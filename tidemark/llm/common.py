@@ -3,6 +3,7 @@ Arrow batches cut into bounded pieces, and whole-text word hashing in numpy."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -155,6 +156,11 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
+#: Words of this many bytes or more are hashed by BLAKE2: words can be made whose sums of powers are equal, and all
+#: that are known to be are longer.
+LONG_WORD = 256
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True):
     """64-bit hashes of all words, and the row of each."""
     if lower:
@@ -165,7 +171,10 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True):
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
     h = (sums[ends] - sums[starts]) * _power(_BASE_INV, len(data))[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * _GOLD), rows
+    h = mix64(h + (ends - starts).astype(np.uint64) * _GOLD)
+    for i in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, rows
 
 
 class SpanHasher:

@@ -12,8 +12,10 @@ ones a star around one member; what a star leaves open is settled by comparing s
 tiles, across components only, until nothing is left. Every surviving pair is verified on
 the whole texts. Nothing is capped: a round that holds pairs back is followed by another.
 
-Null, empty and word-less texts have no set and link with nothing; repeated ids are kept as
-rows of their own text; an empty table gives an empty result.
+Null, empty and word-less texts have no set and link with nothing. Rows with null or repeated
+ids are numbered first and joined as rows of their own; the component of a row is then the
+smallest id of all rows that links reach, whichever of them carries it. An empty table gives
+an empty result; other columns are not read; a text is read whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SMALL = 8
 TILE = 1024
 #: Bytes of text whose block words are packed together.
 PACK_BYTES = 1 << 24
+#: Block words that one bucket holds on average at most, 16 bytes each.
+BUCKET_WORDS = 1 << 22
 _U = np.uint64
 
 
@@ -360,14 +364,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     n_links counts the verified links of the row's distinct set that the join had to look at;
     links between copies and links inside an already joined component are not all expanded.
     """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = text_docs(docs)
+    once = rows.select("doc_id").groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+    if once:
+        return scratch.only(_components(scratch, rows, width, percent), "components")
+    numbered = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = scratch.table(_components(scratch, numbered.select(F.col("row").alias("doc_id"), "text"), width, percent), "rows")
+    out = numbered.select("doc_id", "row").join(found.withColumnsRenamed({"doc_id": "row", "component_id": "group"}), "row")
+    least = out.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return scratch.only(out.join(least, "group").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links"), "components")
+
+
+def _components(scratch: Scratch, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``jaccard_components`` of rows (doc_id, text) whose ids are unique."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = text_docs(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = scratch.table(docs.mapInArrow(_sets_of(width), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "sets")
     nodes = scratch.table(
         sets.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "nodes"
     )
+    # a set of n shingles puts two thirds of n words into buckets at most, in both of its bands together
+    words = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * words // (3 * BUCKET_WORDS)))
     packed = docs.mapInArrow(_packed_words(width, percent, parts), "part int, packed binary")
     found = scratch.table(packed.repartitionById(parts, F.col("part")).mapInArrow(_bucket_pairs, "kind int, a long, b long"), "found")
 
@@ -418,7 +436,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
             break  # every pair across components that the sketches let pass has been verified
         members = scratch.table(members.join(held, "run", "left_semi"), f"members-{step}")
         each *= 8
-    scratch.drop("found", "members", *(f"{t}-{i}" for i in range(step + 1) for t in ("tiles", "tried", "members")))
     degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     final = nodes.join(labels, "node", "left").join(degree, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("c"), "n_links")
     out = sets.join(final, ["k1", "k2"], "left").select(

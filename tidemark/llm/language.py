@@ -6,9 +6,11 @@ feature space, in which a kernel ridge regression is solved one language against
 since the kernel is linear in the presence vectors, landmarks and coefficients fold into one
 matrix, and texts are scored in batches by matrix products.
 
-Null texts and texts without a letter are ``und`` with score 0; rows with a null language
-teach nothing; without any learnable row every text is ``und``. Ties go to the first
-language in alphabetical order.
+Null texts and texts without a letter are ``und`` with score 0; rows with a null language or
+id teach nothing; without any learnable row every text is ``und``. Ties go to the first
+language in alphabetical order. Of several rows of one id and language the least text
+teaches, once; repeated rows are predicted each, texts of any length whole. Extra columns
+never reach the operator.
 """
 
 from __future__ import annotations
@@ -23,10 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import fold_mod, mix64, pieces, text_docs
 
-#: Rows of each language to learn from at most, and landmarks in all.
-ROWS_EACH, LANDMARKS = 600, 256
-#: Parts of a language among which its training rows are looked for first.
-SALTS = 256
+#: Rows of each language to learn from at most, languages to learn at most (those with most rows), and landmarks in all.
+ROWS_EACH, LANGUAGES, LANDMARKS = 600, 128, 256
 BITS, ORDERS = 14, (1, 2, 3)
 RIDGE = 1e-2
 _PLACE = mix64(np.arange(11, 11 + max(ORDERS), dtype=np.uint64)) | np.uint64(1)
@@ -82,17 +82,16 @@ def solve(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
     return {"langs": langs, "w": (z.T.astype(np.float64) @ (root @ beta[:-1])).astype(np.float32), "b": beta[-1].astype(np.float32)}
 
 
-def train(docs: DataFrame, rows_each: int = ROWS_EACH) -> dict:
-    """The model from at most ``rows_each`` rows a language, those with the smallest digest of their id."""
-    first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    salted, whole = Window.partitionBy("lang", "salt").orderBy(*first), Window.partitionBy("lang").orderBy(*first)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null")
-    # a language may hold most rows: its first rows are found within salts, then among those
-    ids = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)))
-    for window in (salted, whole):
-        ids = ids.withColumn("r", F.row_number().over(window)).filter(F.col("r") <= rows_each).drop("r")
-    ids = ids.select("doc_id", "lang")
-    rows = text_docs(docs).join(F.broadcast(ids), "doc_id").filter("text is not null")  # rows_each for each language at most
+def train(docs: DataFrame, rows_each: int = ROWS_EACH, languages: int = LANGUAGES) -> dict:
+    """The model from at most ``rows_each`` rows a language: those with the smallest digests of their id among a share of
+    the ids, by another digest, that has some three times as many."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and doc_id is not null and text is not null")
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    share = most.select("lang", (F.lit(3.0 * rows_each) / F.col("count")).alias("share"))
+    drawn = (F.xxhash64(F.lit(7), "doc_id") / F.lit(2.0**64) + 0.5) < F.col("share")
+    ids = rows.select("lang", "doc_id").join(F.broadcast(share), "lang").filter(drawn).groupBy("lang", "doc_id").agg(F.lit(1).alias("one"))  # a few thousand a language
+    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= rows_each).select("lang", "doc_id")
+    rows = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # rows_each for each language at most
     got = rows.select("doc_id", "text", "lang").mapInArrow(_packed, "doc_id long, lang string, bits binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     if not got.num_rows:
         return {"langs": [], "w": np.zeros((1 << BITS, 0), np.float32), "b": np.zeros(0, np.float32)}

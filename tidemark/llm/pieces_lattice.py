@@ -114,7 +114,7 @@ def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 #: Bytes of text that are read as one block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Distinct words that a task keeps encoded; beyond them it forgets all and begins anew.
 KEPT_WORDS = 1 << 19
 
@@ -368,7 +368,7 @@ def lattices(words: DataFrame, pieces: DataFrame) -> DataFrame:
 #: Rows in whose texts, and the longest text in which, common words are looked for, and how many are taken: they are
 #: encoded once and every task starts with them. A word outside them is encoded by the task that meets it, so they
 #: change no result.
-LOOKED_AT, LOOKED_AT_CHARS, COMMON = 4096, 20_000, 1 << 18
+LOOKED_AT, LOOKED_AT_CHARS, COMMON = 4096, 20_000, 1 << 17
 
 
 def common_words(docs: DataFrame, pieces: DataFrame, looked_at: int = LOOKED_AT, most: int = COMMON) -> pa.Table:

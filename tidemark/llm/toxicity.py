@@ -6,9 +6,10 @@ the score when the group's name is swapped for another of its kind; a neutral me
 can't carry weight of its own.
 
 Null and empty texts get the score of a text without features; labels that are null or name
-no document teach nothing; an id labelled twice counts as often as it is labelled. Without
-any labelled row of both classes the score is the share of label 1 (0 if none). Extra
-columns never reach the operator.
+no document teach nothing; an id labelled twice counts as often as it is labelled, and of
+several texts of one id the least teaches. Without any labelled row of both classes the score
+is the share of label 1 (0 if none). Repeated rows are scored each, texts of any length whole.
+Extra columns never reach the operator.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, fold_mod, pieces, text_docs, utf8
+from .common import Scratch, SpanHasher, fold_mod, pieces, text_docs, utf8
 
 #: Labelled rows to learn from at most, those with the smallest digest of their id.
 SAMPLE_ROWS = 20_000
@@ -30,7 +31,7 @@ SAMPLE_ROWS = 20_000
 BUCKETS, KEPT, LEAST_TEXTS = 1 << 20, 1024, 8
 #: Bytes of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
-#: Groups of names that may replace one another.
+#: Groups of names that may replace one another, in English, French, German and Spanish.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -38,6 +39,12 @@ IDENTITY = (
     ("black", "white", "asian", "latino", "african", "european"),
     ("gay", "lesbian", "straight", "bisexual"), ("transgender", "cisgender"),
     ("immigrants", "natives"), ("disabled", "able-bodied"), ("elderly", "young"),
+    ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"), ("noirs", "blancs", "asiatiques", "arabes"), ("immigrés", "autochtones"),
+    ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"), ("schwarze", "weiße", "asiaten"), ("einwanderer", "einheimische"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"), ("negros", "blancos", "asiáticos"), ("inmigrantes", "nativos"),
 )
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -150,7 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, groups=
     """The model: kept buckets, their weights, the intercept. ``docs`` and ``labels`` are the rows allowed for learning."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     ids = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = text_docs(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")  # at most `sample` ids
+    wanted = F.broadcast(ids.select("doc_id").distinct())  # at most `sample` ids
+    texts = text_docs(docs).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # one text an id, however many rows have it
+    rows = Scratch(docs.sparkSession, "toxicity").table(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), "rows")  # at most `sample` rows
     share = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     n, p = share["n"] or 0, share["p"] or 0
     if not n or p in (0, n):
