@@ -9,7 +9,7 @@ from tidemark import functions as V
 from tidemark.operators import evidence, keyed, ledger_views, rates
 from tidemark.plans.ledger import Ledger
 from tidemark.sources.readers import Malformed, PagedSource, RowStore, bisect_days, read_roster, select_people
-from tidemark.streaming.operations import Operations, PermitPool, StopController
+from tidemark.streaming.operations import Operations, PermitPool, RateLimited, StopController
 from tidemark.streaming.traversal import Observation, Traversal, live_counts
 
 
@@ -63,7 +63,14 @@ def test_next_admission_needs_room(spark):
 def test_read_gate(spark):
     spark.range(3).createOrReplaceTempView("seen")
     assert ledger_views.read_query(spark, "WITH x AS (SELECT id FROM seen) SELECT count(*) AS n FROM x", {"seen"}).first()["n"] == 3
-    for bad in ("DROP VIEW seen", "SELECT * FROM other", "CREATE TABLE t AS SELECT 1"):
+    spark.range(3).createOrReplaceTempView("secret")
+    fine = ["SELECT s.id FROM seen s JOIN seen r USING (id) WHERE s.id IN (SELECT max(id) FROM seen) ORDER BY 1 LIMIT 2", "SELECT sum(id) OVER (ORDER BY id) AS n FROM seen", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT max(n) AS n FROM r"]
+    for good in fine:
+        assert ledger_views.read_query(spark, good, {"seen"}).count() >= 1
+    bads = ["DROP VIEW seen", "SELECT * FROM other", "CREATE TABLE t AS SELECT 1", "select * from secret where '' <> ', secret as ('", "select reflect('java.lang.System','getProperty','user.home')"]
+    bads += ["select java_method('java.lang.System','getProperty','user.home') from seen", "select * from parquet.`/tmp/x`", "with a as (select * from secret) select * from a", "with secret as (select * from secret) select * from secret"]
+    bads += ["select id from seen where id = (select max(id) from secret)", "select input_file_name() from seen", "select * from range(3)", "select current_user()", "select id from seen union select id from secret", "select * from read_files('/tmp')", "select explode(array(reflect('a', 'b'))) from seen", "from seen |> where id > 0", "select spark_catalog.default.f(id) from seen"]
+    for bad in bads:
         with pytest.raises(PermissionError):
             ledger_views.read_query(spark, bad, {"seen"})
 
@@ -106,8 +113,33 @@ def test_traversal_merges_and_refuses(spark, tmp_path):
     assert t.members()[0] == "open" and t.members()[1].count() == 3
     with pytest.raises(ValueError):
         t.take(spark.createDataFrame([(3, "z")], "id long, url string"), 2)
+    assert len(list((tmp_path / "t" / "pages").iterdir())) == 2, "a page that disagrees leaves nothing"
+    t = Traversal(spark, str(tmp_path / "t"), "id", ["url"])
+    t.take(spark.createDataFrame([(9, "z")], "id long, url string"), 1)
+    assert t.members()[1].count() == 3, "a batch taken before is not taken again after a restart"
     t.finish()
-    assert t.members()[0] == "complete" and t.revision == 2
+    assert t.members()[0] == "complete" and Traversal(spark, str(tmp_path / "t"), "id", ["url"]).status == "complete" and t.revision == 3
+
+
+def test_traversal_goes_on_from_its_cursor_and_gates_a_composition(spark, tmp_path):
+    from tidemark.plans.compose import Memo
+    from tidemark.plans.workspace import Workspace
+
+    loaded = []
+
+    def load(cursor):
+        n = int(cursor or 0)
+        loaded.append(n)
+        return spark.createDataFrame([(n, f"u{n}"), (n + 1, f"u{n + 1}")], "id long, url string"), str(n + 1) if n < 3 else None
+
+    make = lambda most=None: Traversal(spark, str(tmp_path / "t"), "id", ["url"]).source("found", load, most)
+    for most, want in ((2, "failed"), (None, "published"), (None, "reused")):
+        source = make(most)
+        step = Memo("names", {"found": source}, {"found": ["url"]}, lambda found: found.select("url"))
+        with Workspace(spark, str(tmp_path / "l"), "t", step).run() as run:
+            out = run.resolve(step)
+            assert out.state == want
+    assert loaded == [0, 1, 2, 3] and out.data.count() == 5
 
 
 def test_streamed_pages_and_counts(spark, tmp_path):
@@ -143,7 +175,27 @@ def test_operations_retry_and_settle(spark, tmp_path):
     with pytest.raises(KeyboardInterrupt):
         ops.run("y", killed)
     assert ops.run("y", lambda: pytest.fail("sent twice")).status == "unsettled"
+    assert [o.key for o in ops.inspect("unsettled")] == ["y"] and len(ops.inspect()) == 2
     assert ops.settle("y", "known").value == "known"
+    slept, tried = [], []
+
+    def later():
+        tried.append(1)
+        if len(tried) < 3:
+            raise RateLimited("later")
+        return "sent"
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += int(s * 1000)
+
+    assert ops.passes({"z": later}, sleep=None) == now[0] + 2000 and ops.state(ops.get("z")) == "rate-limited"
+    assert ops.passes({"z": later}, sleep=sleep) is None and ops.get("z").value == "sent" and sum(slept) == 6
+    stop = StopController(lambda: now[0])
+    stop.stop("soft")
+    assert ops.send("w", lambda: pytest.fail("sent after the stop"), PermitPool(1), stop).status == "new" and not ops.sleep_until(now[0] + 5, sleep, stop)
+    pool = PermitPool(1)
+    assert ops.send("w", lambda: "w1", pool).value == "w1" and pool.free == 1
     seen = Observation(led.files)
     seen.write(phase="running")
     seen.write(phase="done")
@@ -231,3 +283,44 @@ def test_cli_verbs(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["phase"] == "published"
     rid = Ledger(spark, ledger).table("results").filter("subject = 'report'").first()["result_id"]
     assert cli.main(["read-result", ledger, rid]) == 0 and cli.main(["read-result", ledger, "none"]) == 1
+
+
+def test_subtrees_end_on_cycles(spark):
+    edges = spark.createDataFrame([(1, 2, "edge"), (2, 3, "edge"), (3, 1, "edge"), (2, 4, "prototype"), (1, 4, "edge")], "parent long, child long, kind string")
+    got = ledger_views.subtree(edges, 1)
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 1), (3, 2), (4, 1)]
+    assert sorted(map(tuple, ledger_views.subtree(edges, 2, ("prototype",)).collect())) == [(2, 0), (4, 1)]
+    protos = spark.createDataFrame([(1, 2), (2, 1)], "node long, prototype long")
+    keys = spark.createDataFrame([(1, "a"), (2, "b")], "node long, key string")
+    assert ledger_views.has_key(protos, keys, 1, "b") == (False, True) and ledger_views.has_key(protos, keys, 1, "z") == (False, False)
+
+
+def test_records_and_values_are_canonical(spark):
+    rows = spark.createDataFrame([('{"b": 1, "a": "x"}',), ("[1, 2",), (None,)], "t string")
+    assert [r[0] for r in rows.select(V.encode_value(F.col("t"))).collect()] == ['{"a":"x","b":1}', None, None]
+    assert [r[0] for r in rows.select(V.decode_value(F.col("t")).isNull()).collect()] == [True, True, True]
+    with pytest.raises(Exception, match="given twice"):
+        spark.sql("select array(named_struct('key', 'a', 'value', 1), named_struct('key', 'a', 'value', 2)) as e").select(V.record_from_entries(F.col("e"))).collect()
+
+
+def test_details_and_discussions(spark, tmp_path):
+    from tidemark.sources.readers import discussion_items, read_details
+
+    (tmp_path / "p.json").write_text('{"id": "1", "title": "t", "merged": true}\n')
+    (tmp_path / "d.json").write_text('{"id": "1", "reviews": [{"id": 5, "author": "a", "at": 1}], "comments": [], "inlineComments": [{"id": 6, "author": "b", "at": 2}]}\n')
+    _, d = read_details(spark, str(tmp_path / "p.json"), str(tmp_path / "d.json"))
+    assert sorted(map(tuple, discussion_items(d).collect())) == [("1", "inlineComments", 6, "b", 2), ("1", "reviews", 5, "a", 1)]
+    (tmp_path / "d.json").write_text('{"id": "2"}\n')
+    with pytest.raises(Malformed):
+        read_details(spark, str(tmp_path / "p.json"), str(tmp_path / "d.json"))
+
+
+def test_addresses_of_any_length_and_entry_data(spark):
+    from tidemark.operators import tree
+
+    name = "k" * (1 << 20)
+    index = spark.createDataFrame([(1, f'["{name}x"]', "scalar"), (1, "[]", "record")], "key long, address string, kind string")
+    assert tree.keys_below(index, "[]").first().names == [f'"{name}x"']
+    rows = keyed.entries(spark.createDataFrame([("a", "succeeded", 1), ("b", "failed", None)], "key string, status string, v long"), ["v"])
+    with pytest.raises(Exception, match="b is failed"):
+        rows.select(keyed.entry_data(rows, "v")).collect()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import functions as V
 from .operators import accounting, evidence, keyed, ledger_views, rates, tree
 from .plans import report
+from .sources import readers
+from .sources.scratch import Scratch, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -86,11 +88,9 @@ def fold_strict_nation(t: Tables) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contribution report through the engine: retained, keyed, gated, folded."""
-    import tempfile
-
     from .plans.workspace import Workspace
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    base = shared_dir(spark)
     fold = report.contribution(report.read(spark, sf_dir, "customer"), report.read(spark, sf_dir, "orders"))
     work = Workspace(spark, f"{base}/flagship-{sf_dir.strip('/').replace('/', '_')}", "contribution", fold)
     with work.run() as run:
@@ -147,9 +147,9 @@ def keying_first_failure(t):
 @query("candidates_union", """
 SELECT result_id, environment, subject, publication FROM (
   SELECT o_orderkey AS result_id, o_orderpriority AS environment, o_custkey AS subject, o_orderkey AS publication FROM orders)
-WHERE subject % 10 = 3 AND (environment = '1-URGENT' OR result_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))""")
+WHERE environment = '1-URGENT' OR result_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def candidates_union(t):
-    return ledger_views.candidates(ledger_views.envelope(results_of(t)), promotions_of(t), F.col("environment") == "1-URGENT", F.col("subject") % 10 == 3)
+    return ledger_views.candidates(ledger_views.envelope(results_of(t)), promotions_of(t), F.col("environment") == "1-URGENT", F.col("subject").isNotNull())
 
 
 @query("current_pointer", "SELECT environment, subject, arg_max(result_id, publication) AS result_id, max(publication) AS publication FROM (SELECT o_orderkey AS result_id, o_orderpriority AS environment, o_custkey AS subject, o_orderkey AS publication FROM orders) GROUP BY 1, 2")
@@ -185,10 +185,7 @@ def journal_latest(t):
 SELECT j.user_id AS key, j.event_id AS revision, j.event_type AS content, f.first_sequence, row_number() OVER (ORDER BY f.first_sequence) AS place
 FROM events j JOIN (SELECT user_id, min(event_id) AS first_sequence, max(event_id) AS last FROM events GROUP BY user_id) f ON f.user_id = j.user_id AND f.last = j.event_id""")
 def journal_first_order(t):
-    from pyspark.sql import Window
-
-    rows = ledger_views.journal_list(journal_of(t)).select("key", "revision", "content", "first_sequence")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("first_sequence")))  # one row for each key of a journal
+    return keyed.places(ledger_views.journal_list(journal_of(t)).select("key", "revision", "content", "first_sequence"), F.col("first_sequence"))
 
 
 TREE = """
@@ -207,8 +204,7 @@ def tree_of(t: Tables) -> DataFrame:
 
 @query("subtree_recursive", f"WITH RECURSIVE edges AS ({TREE}), below(node, depth) AS (SELECT 1000001::BIGINT, 0 UNION ALL SELECT child, depth + 1 FROM below JOIN edges ON parent = node) SELECT node, depth FROM below")
 def subtree_recursive(t):
-    tree_of(t).createOrReplaceTempView("tidemark_edges")
-    return ledger_views.subtree(t.spark, "tidemark_edges", "1000001")
+    return ledger_views.subtree(tree_of(t), 1000001)
 
 
 @query("subtree_edges_ordered", f"WITH edges AS ({TREE}) SELECT parent, string_agg(child::VARCHAR, ',' ORDER BY position, child) AS children FROM edges GROUP BY parent")
@@ -280,15 +276,17 @@ def page_merge_conflicts(t):
     return evidence.merge_pages(t.pages.select((F.col("page_id") % 40).alias("id"), "url"), "id", ["url"])
 
 
-@query("index_multiset_equal", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 25 EXCEPT ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1")
-def index_multiset_equal(t):
-    x = t.lineitem.select("l_orderkey", "l_linenumber")
-    return t.lineitem.filter("l_quantity > 25").select("l_orderkey", "l_linenumber").exceptAll(x.filter("l_linenumber = 1"))
+@query("index_verified", "SELECT true AS whole, false AS cut")
+def index_verified(t):
+    df = payloads(t)
+    index = tree.shred(df, "o_orderkey")
+    return t.spark.createDataFrame([(tree.verified(df, "o_orderkey", index), tree.verified(df, "o_orderkey", index.filter("kind <> 'array'")))], "whole boolean, cut boolean")
 
 
-@query("json_selected_fact", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_selected_fact(t):
-    return t.events.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+@query("selected_fact", "SELECT o_orderkey AS key, o_custkey::VARCHAR AS value FROM orders WHERE o_orderstatus = 'F'")
+def selected_fact(t):
+    asked = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    return tree.selection(tree.shred(payloads(t), "o_orderkey"), asked, '["head","o_custkey"]')
 
 
 @query("json_own_keys", "SELECT event_id, list_contains(json_keys(props), 'k') AS own, len(json_keys(props))::INTEGER AS n FROM events")
@@ -412,14 +410,12 @@ def window_attribution(t):
 
 @query("canonical_key_order", "SELECT p_name AS key, row_number() OVER (ORDER BY p_name) AS place FROM (SELECT DISTINCT p_name FROM part)")
 def canonical_key_order(t):
-    from pyspark.sql import Window
-
-    return t.part.select(F.col("p_name").alias("key")).distinct().withColumn("place", F.row_number().over(Window.orderBy(V.canonical_order(F.col("key")))))
+    return keyed.places(t.part.select(F.col("p_name").alias("key")).distinct(), V.canonical_order(F.col("key")))
 
 
 @query("expired_claims_topn", "SELECT c_custkey AS subject, c_acctbal AS lease FROM customer WHERE c_acctbal < 0 ORDER BY c_acctbal, c_custkey LIMIT 20")
 def expired_claims_topn(t):
-    return t.customer.filter("c_acctbal < 0").orderBy("c_acctbal", "c_custkey").limit(20).select(F.col("c_custkey").alias("subject"), F.col("c_acctbal").alias("lease"))
+    return readers.expired_claims(t.customer, "c_custkey", "c_acctbal", 0, 20)
 
 
 @query("retry_delays", "SELECT l_orderkey, l_linenumber, least(60000, 2000 * pow(2, l_linenumber - 1))::BIGINT AS delay FROM lineitem")
@@ -447,7 +443,7 @@ def encoded_addresses(t):
 @query("json_each_elements", "SELECT event_id, unnest([event_type, user_id::VARCHAR]) AS element FROM events")
 def json_each_elements(t):
     text = F.to_json(F.array("event_type", F.col("user_id").cast("string")))
-    return t.events.select("event_id", F.explode(F.from_json(text, "array<string>")).alias("element"))
+    return t.events.select("event_id", V.json_each(text).alias("element"))
 
 
 @query("normalised_spaces", "SELECT page_id, trim(regexp_replace(url, '[/.:]+', ' ', 'g')) AS words FROM pages")
@@ -476,24 +472,19 @@ def payloads(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("head"), F.array("o_orderpriority", "o_orderstatus").alias("tags"))
 
 
-def in_sql_scope(df: DataFrame, key: str) -> DataFrame:
-    """The fifth of the keys that the SQL of payload_index, payload_own_property and payload_child_keys lists."""
-    return df.filter(F.col(key) % 5 == 0)
-
-
 TREE_ROWS = """
-SELECT o_orderkey AS key, '[]' AS address, 'record' AS kind, NULL AS scalar, 2 AS size FROM orders WHERE o_orderkey % 5 = 0
-UNION ALL SELECT o_orderkey, '["head"]', 'record', NULL, 2 FROM orders WHERE o_orderkey % 5 = 0
-UNION ALL SELECT o_orderkey, '["head","o_custkey"]', 'scalar', o_custkey::VARCHAR, NULL FROM orders WHERE o_orderkey % 5 = 0
-UNION ALL SELECT o_orderkey, '["head","o_orderstatus"]', 'scalar', o_orderstatus, NULL FROM orders WHERE o_orderkey % 5 = 0
-UNION ALL SELECT o_orderkey, '["tags"]', 'array', NULL, 2 FROM orders WHERE o_orderkey % 5 = 0
-UNION ALL SELECT o_orderkey, '["tags",0]', 'scalar', o_orderpriority, NULL FROM orders WHERE o_orderkey % 5 = 0
-UNION ALL SELECT o_orderkey, '["tags",1]', 'scalar', o_orderstatus, NULL FROM orders WHERE o_orderkey % 5 = 0"""
+SELECT o_orderkey AS key, '[]' AS address, 'record' AS kind, NULL AS scalar, 2 AS size FROM orders
+UNION ALL SELECT o_orderkey, '["head"]', 'record', NULL, 2 FROM orders
+UNION ALL SELECT o_orderkey, '["head","o_custkey"]', 'scalar', o_custkey::VARCHAR, NULL FROM orders
+UNION ALL SELECT o_orderkey, '["head","o_orderstatus"]', 'scalar', o_orderstatus, NULL FROM orders
+UNION ALL SELECT o_orderkey, '["tags"]', 'array', NULL, 2 FROM orders
+UNION ALL SELECT o_orderkey, '["tags",0]', 'scalar', o_orderpriority, NULL FROM orders
+UNION ALL SELECT o_orderkey, '["tags",1]', 'scalar', o_orderstatus, NULL FROM orders"""
 
 
 @query("payload_index", TREE_ROWS)
 def payload_index(t):
-    return in_sql_scope(tree.shred(payloads(t), "o_orderkey"), "key").drop("fingerprint")
+    return tree.shred(payloads(t), "o_orderkey").drop("fingerprint")
 
 
 @query("payload_selected", f"SELECT address, scalar FROM ({TREE_ROWS}) WHERE key = 5 AND address IN ('[\"head\",\"o_custkey\"]', '[\"tags\",1]', '[\"gone\"]')")
@@ -501,14 +492,14 @@ def payload_selected(t):
     return tree.read_selected(tree.shred(payloads(t), "o_orderkey"), 5, ['["head","o_custkey"]', '["tags",1]', '["gone"]']).select("address", "scalar")
 
 
-@query("payload_own_property", "SELECT o_orderkey AS key, true AS own FROM orders WHERE o_orderkey % 5 = 0")
+@query("payload_own_property", "SELECT o_orderkey AS key, true AS own FROM orders")
 def payload_own_property(t):
-    return in_sql_scope(tree.has_own(tree.shred(payloads(t), "o_orderkey"), '["head"]', "o_custkey"), "key")
+    return tree.has_own(tree.shred(payloads(t), "o_orderkey"), '["head"]', "o_custkey")
 
 
-@query("payload_child_keys", "SELECT o_orderkey AS key, '\"o_custkey\"|\"o_orderstatus\"' AS names FROM orders WHERE o_orderkey % 5 = 0")
+@query("payload_child_keys", "SELECT o_orderkey AS key, '\"o_custkey\"|\"o_orderstatus\"' AS names FROM orders")
 def payload_child_keys(t):
-    return in_sql_scope(tree.keys_below(tree.shred(payloads(t), "o_orderkey"), '["head"]'), "key").select("key", F.array_join("names", "|").alias("names"))
+    return tree.keys_below(tree.shred(payloads(t), "o_orderkey"), '["head"]').select("key", F.array_join("names", "|").alias("names"))
 
 
 @query("attempt_by_key", "SELECT o_orderkey AS attempt_id, o_orderstatus AS state FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey = 7")
@@ -516,17 +507,14 @@ def attempt_by_key(t):
     return ledger_views.scoped(t.orders, o_orderpriority="1-URGENT", o_custkey=7).select(F.col("o_orderkey").alias("attempt_id"), F.col("o_orderstatus").alias("state"))
 
 
-@query("acceptances_in_order", "SELECT l_orderkey AS result_id, l_linenumber AS acceptance, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem WHERE l_returnflag = 'N'")
+@query("acceptances_in_order", "SELECT l_orderkey AS result_id, l_linenumber AS acceptance, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem")
 def acceptances_in_order(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    return t.lineitem.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("result_id"), F.col("l_linenumber").alias("acceptance"), F.row_number().over(w).alias("place"))
+    return ledger_views.acceptances_of(t.lineitem, "l_orderkey", ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]).select(F.col("l_orderkey").alias("result_id"), F.col("l_linenumber").alias("acceptance"), "place")
 
 
 @query("usage_estimates_by_scope", "SELECT o_orderpriority AS scope, o_orderstatus AS basis, count(*) AS n, sum(floor(o_totalprice)::BIGINT)::BIGINT AS amount FROM orders GROUP BY 1, 2")
 def usage_estimates_by_scope(t):
-    return t.orders.groupBy(F.col("o_orderpriority").alias("scope"), F.col("o_orderstatus").alias("basis")).agg(F.count("*").alias("n"), V.safe_sum(F.sum(F.floor("o_totalprice"))).alias("amount"))
+    return accounting.estimates_by_scope(t.orders.withColumn("amount", F.floor("o_totalprice")), "o_orderpriority", "o_orderstatus", "amount")
 
 
 @query("resource_reports_kept", f"SELECT event_id AS report, {EXPIRES} AS expires_at FROM events WHERE NOT ({EXPIRES} <= {NOW})")
@@ -534,28 +522,242 @@ def resource_reports_kept(t):
     return accounting.evicted(resource_reports(t), NOW).select("report", "expires_at")
 
 
-@query("unique_references", "SELECT user_id, count(DISTINCT event_type) AS n, min(event_type) AS first FROM events GROUP BY user_id")
+@query("unique_references", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS place, event_type FROM events GROUP BY user_id, event_type")
 def unique_references(t):
-    refs = t.events.groupBy("user_id").agg(F.array_distinct(F.array_sort(F.collect_set("event_type"))).alias("r"))
-    return refs.select("user_id", F.size("r").cast("long").alias("n"), F.get("r", F.lit(0)).alias("first"))
+    return ledger_views.unique_references(t.events, "user_id", "event_id", "event_type")
 
 
 @query("daily_coverage", "SELECT CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) AS day, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
 def daily_coverage(t):
-    day = F.floor(ms("o_orderdate") / 86400000).cast("long")
-    return t.orders.groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    return t.orders.groupBy(V.day_of(ms("o_orderdate")).alias("day")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
 
+@query("closed_days", f"""
+SELECT event_id, CAST(ceil({MS} / 86400000.0) AS BIGINT) AS first, greatest(CAST(floor(least({MS} + 259200000, {NOW}) / 86400000.0) AS BIGINT) - CAST(ceil({MS} / 86400000.0) AS BIGINT), 0) AS n FROM events""")
+def closed_days(t):
+    return t.events.select("event_id", V.closed_days(ms(), ms() + 259_200_000, NOW).alias("d")).select("event_id", "d.*")
 
-@query("people_selected", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 5, 8) AND c_acctbal > -1e9")
+
+@query("people_selected", "SELECT c_custkey::VARCHAR AS employee_id, c_name AS name FROM customer WHERE c_custkey IN (3, 5, 8)")
 def people_selected(t):
-    return t.customer.filter(F.col("c_custkey").isin(3, 5, 8) & (F.col("c_acctbal") > -1e9)).select("c_custkey", "c_name")
+    roster = t.customer.select(F.col("c_custkey").cast("string").alias("employee_id"), F.col("c_name").alias("name"), F.lit(True).alias("active"))
+    return readers.select_people(roster, ["3", "5", "8"]).select("employee_id", "name")
+
+
+@query("status_keys", f"WITH {MEMBERS_SQL} SELECT status, row_number() OVER (PARTITION BY status ORDER BY key::VARCHAR) AS place, key FROM members")
+def status_keys(t):
+    return keyed.status_keys(members_of(t))
+
+
+@query("entry_data", f"WITH {MEMBERS_SQL} SELECT key::VARCHAR AS key, status, CASE WHEN status = 'succeeded' THEN total END AS total FROM members")
+def entry_data(t):
+    rows = keyed.entries(members_of(t).withColumn("key", F.col("key").cast("string")), ["total"])
+    good = rows.filter("status = 'succeeded'")
+    read = good.select("key", "status", keyed.entry_data(good, "total").alias("total"))
+    return read.unionByName(rows.filter("status <> 'succeeded'").select("key", "status", F.col("data.total").alias("total")))
+
+
+def _largest(key, rows):
+    if key.endswith("7"):
+        raise ValueError("seven")
+    return {"largest": float(rows.o_totalprice.max())}
+
+
+@query("member_failures", "SELECT o_custkey::VARCHAR AS key, CASE WHEN o_custkey % 10 <> 7 THEN max(o_totalprice) END AS largest, CASE WHEN o_custkey % 10 = 7 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN o_custkey % 10 = 7 THEN 'ValueError: seven' END AS error FROM orders GROUP BY o_custkey")
+def member_failures(t):
+    return keyed.per_member(t.orders.select(F.col("o_custkey").cast("string").alias("key"), "o_totalprice"), _largest, "largest double")
+
+
+def promotions_table(t: Tables) -> DataFrame:
+    """Line items as promotions: the order is the result, the line the position, the return flag the target."""
+    return t.lineitem.select(F.col("l_partkey").alias("promotion_id"), F.col("l_returnflag").alias("environment"), F.col("l_linenumber").alias("position"), F.col("l_orderkey").alias("result_id"))
+
+
+@query("promotions_of_target", "SELECT l_partkey AS promotion_id, l_linenumber AS position, l_orderkey AS result_id FROM lineitem WHERE l_returnflag = 'R'")
+def promotions_of_target(t):
+    return ledger_views.promotions_of_target(promotions_table(t), "R")
+
+
+@query("promotions_naming", "SELECT l_partkey AS promotion_id, l_returnflag AS environment, l_linenumber AS position, l_orderkey AS result_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def promotions_naming(t):
+    return ledger_views.promotions_naming(promotions_table(t), t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("result_id")))
+
+
+@query("attempt_envelope", "SELECT 7 AS attempt_id, o_orderstatus AS state, l_linenumber AS line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = 7")
+def attempt_envelope(t):
+    attempts = t.orders.select(F.col("o_orderkey").alias("attempt_id"), F.col("o_orderstatus").alias("state"))
+    return ledger_views.envelope_of(attempts, t.lineitem.select(F.col("l_orderkey").alias("result_id"), F.col("l_linenumber").alias("line")), 7).select(F.col("attempt_id").cast("int").alias("attempt_id"), "state", "line")
+
+
+@query("prototype_keys", """
+WITH RECURSIVE above(node, depth) AS (SELECT 57::BIGINT, 0 UNION ALL SELECT node // 2, depth + 1 FROM above WHERE node > 1)
+SELECT depth, o_orderkey AS key FROM above JOIN orders ON o_custkey = node""")
+def prototype_keys(t):
+    up = t.customer.filter("c_custkey > 1").select(F.col("c_custkey").alias("node"), F.floor(F.col("c_custkey") / 2).alias("prototype"))
+    return ledger_views.prototype_chain(up, t.orders.select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("key")), 57)
+
+
+@query("payload_membership", "SELECT o_orderkey AS key, true AS member FROM orders")
+def payload_membership(t):
+    return tree.membership(tree.shred(payloads(t), "o_orderkey"), '["head"]', "toString", {"toString"})
+
+
+@query("payload_nodes", "SELECT o_orderkey AS key, 'array' AS kind, NULL::VARCHAR AS scalar, 2 AS size FROM orders")
+def payload_nodes(t):
+    return tree.node_at(tree.shred(payloads(t), "o_orderkey"), '["tags"]')
+
+
+@query("observed_facts", """
+SELECT 'value' AS operation, o_orderkey AS key, o_custkey::VARCHAR AS fact FROM orders UNION ALL SELECT 'length', o_orderkey, '2' FROM orders
+UNION ALL SELECT 'container-kind', o_orderkey, 'record' FROM orders UNION ALL SELECT 'keys', o_orderkey, '"o_custkey","o_orderstatus"' FROM orders UNION ALL SELECT 'own', o_orderkey, 'false' FROM orders""")
+def observed_facts(t):
+    index = tree.shred(payloads(t), "o_orderkey").withColumn("fingerprint", F.when(F.col("kind") != "scalar", F.col("fingerprint")))
+    seen = {"value": ('["head","o_custkey"]', None), "length": ('["tags"]', None), "container-kind": ('["head"]', None), "keys": ('["head"]', None), "own": ('["head"]', "gone")}
+    parts = [evidence.observe(index, a, op, name).select(F.lit(op).alias("operation"), "key", "fact") for op, (a, name) in seen.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("first_difference", f"SELECT o_orderkey, 'changed' AS state FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 101 <> 5 OR o_orderkey % 101 = 5 ORDER BY o_orderkey LIMIT 1".replace("'changed'", "CASE WHEN o_orderkey % 101 = 5 THEN 'unavailable' ELSE 'changed' END"))
+def first_difference(t):
+    return evidence.first_difference(t.orders.withColumn("place", F.col("o_orderkey")), changed_orders(t), ["o_orderkey"], "place", "o_totalprice").select("o_orderkey", "state")
+
+
+@query("canonical_values", "SELECT event_id, json(props)::VARCHAR AS value, true AS fits FROM events")
+def canonical_values(t):
+    value = V.encode_value(F.col("props"))
+    return t.events.select("event_id", value.alias("value"), V.decode_value(value).isNotNull().alias("fits"))
+
+
+@query("records_from_entries", "SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
+def records_from_entries(t):
+    entries = F.array(F.struct(F.lit("status").alias("key"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("priority").alias("key"), F.col("o_orderpriority").alias("value")))
+    return t.orders.select("o_orderkey", V.record_from_entries(entries).alias("r")).select("o_orderkey", F.col("r.status").alias("status"), F.col("r.priority").alias("priority"))
+
+
+# -- the engine's own tables ------------------------------------------------------------------
+def two_runs(t: Tables):
+    """A ledger after a cold run of the contribution report and one over changed orders."""
+    from .plans.workspace import Workspace
+
+    now = {"orders": t.orders}
+    fold = report.contribution(lambda previous: t.customer, lambda previous: now["orders"])
+    work = Workspace(t.spark, Scratch(t.spark, "ledger").root, "contribution", fold)
+    outcomes = []
+    for orders in (t.orders, changed_orders(t)):
+        now["orders"] = orders
+        with work.run(wait=60_000) as run:
+            outcomes.append((run.resolve(fold), dict(run.bodies)))
+    return work, fold, outcomes
+
+
+COUNTED = f"""
+was AS (SELECT o_custkey AS k, count(*) AS n, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY 1 HAVING count(*) >= 5),
+now AS (SELECT o_custkey AS k, count(*) AS n, list_sort(list({CHANGED})) AS v FROM orders WHERE o_orderkey % 101 <> 5 GROUP BY 1 HAVING count(*) >= 5),
+stale AS (SELECT count(*) AS n FROM now LEFT JOIN was USING (k) WHERE was.v IS NULL OR was.v <> now.v)"""
 
 
 @query("miss_taxonomy", f"""
-WITH held AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 101 <> 5), now AS (SELECT o_orderkey AS k, {CHANGED} AS v FROM orders)
-SELECT CASE WHEN h.k IS NULL THEN 'cold' WHEN h.v <> n.v THEN 'changed' ELSE 'reused' END AS reason, count(*) AS n FROM now n LEFT JOIN held h USING (k) GROUP BY 1""")
+WITH {COUNTED}
+SELECT 'contributors' AS subject, 'cold' AS reason, 1::BIGINT AS n UNION ALL SELECT 'summary', 'cold', count(*) FROM was UNION ALL SELECT 'report', 'cold', 1
+UNION ALL SELECT 'contributors', 'changed', 1 UNION ALL SELECT 'summary', 'changed', n FROM stale 
+UNION ALL SELECT 'report', CASE WHEN EXISTS (SELECT 1 FROM was FULL JOIN now USING (k) WHERE was.n IS NULL OR now.n IS NULL) THEN 'changed-membership' ELSE 'changed-member-output' END, 1""")
 def miss_taxonomy(t):
-    price = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-    states = evidence.compare_facts(t.orders.filter("o_orderkey % 101 <> 5"), t.orders.withColumn("o_totalprice", price), ["o_orderkey"], "o_totalprice")
-    reason = F.when(F.col("state") == "added", "cold").when(F.col("state") == "equal", "reused").otherwise("changed")
-    return states.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Why steps ran, from the ledger: the order's owner is consumed by the memo, its price by the members alone."""
+    work, _, _ = two_runs(t)
+    return work.ledger.table("misses").select("subject", "reason", "n")
+
+
+@query("reuse_bodies", f"WITH {COUNTED} SELECT 'cold' AS run, count(*) AS members, 1::BIGINT AS folds FROM was UNION ALL SELECT 'changed', n, 1 FROM stale")
+def reuse_bodies(t):
+    _, _, outcomes = two_runs(t)
+    return t.spark.createDataFrame([(name, o[1].get("summary", 0), o[1].get("report", 0)) for name, o in zip(("cold", "changed"), outcomes, strict=True)], "run string, members long, folds long")
+
+
+@query("report_after_change", FOLD_SQL.replace("FROM orders GROUP BY", f"FROM (SELECT o_custkey, {CHANGED} AS o_totalprice FROM orders WHERE o_orderkey % 101 <> 5) GROUP BY"))
+def report_after_change(t):
+    return two_runs(t)[2][1][0].data
+
+
+@query("attempt_states", "SELECT subject, state, count(*) AS n FROM (VALUES ('customers', 'claimed'), ('customers', 'completed'), ('orders', 'claimed'), ('orders', 'completed'), ('orders', 'claimed'), ('orders', 'completed'), ('contributors', 'claimed'), ('contributors', 'completed'), ('contributors', 'claimed'), ('contributors', 'completed'), ('summary', 'claimed'), ('summary', 'completed'), ('summary', 'claimed'), ('summary', 'completed'), ('report', 'claimed'), ('report', 'completed'), ('report', 'claimed'), ('report', 'completed')) AS a(subject, state) GROUP BY ALL")
+def attempt_states(t):
+    return two_runs(t)[0].ledger.table("attempts").groupBy("subject", "state").agg(F.count("*").alias("n"))
+
+
+@query("engine_dependencies", "SELECT * FROM (VALUES ('contributors', 'customers'), ('contributors', 'orders'), ('report', 'summary'), ('summary', 'contributors'), ('summary', 'orders')) AS d(subject, used)")
+def engine_dependencies(t):
+    """Which step's results each step used, over the ledger's dependency rows: views of a population count as their template's."""
+    ledger = two_runs(t)[0].ledger
+    names = ledger.table("results").select(F.col("result_id").alias("dependency_id"), F.col("subject").alias("used")).union(ledger.table("views").select("view_id", "subject"))
+    own = ledger.table("results").select(F.col("result_id").alias("attempt_id"), "subject")
+    return ledger.table("dependencies").join(own, "attempt_id").join(names, "dependency_id").select("subject", "used").distinct()
+
+
+@query("engine_usage", "SELECT 4::BIGINT AS attempts, 3::BIGINT AS reports, 1::BIGINT AS unknown, 'incomplete' AS status, 'recorded,duplicate,conflict' AS intents, 'acknowledged,duplicate,conflict,unattributable' AS reported, 60::BIGINT AS tokens")
+def engine_usage(t):
+    """Usage that a run records: four intents, three reports, one attempt unknown."""
+    from .plans.workspace import Workspace
+
+    work = Workspace(t.spark, Scratch(t.spark, "ledger").root, "usage", report.Source("none", lambda previous: None))
+    with work.run() as run:
+        u = run.usage()
+        intents = [u.record_intent("a", "1"), u.record_intent("a", "1"), u.record_intent("a", "2")]
+        for op in "bcd":
+            u.record_intent(op, "1")
+        reported = [u.acknowledge("a", "r", {"tokens": 10}), u.acknowledge("a", "r", {"tokens": 10}), u.acknowledge("a", "r", {"tokens": 11}), u.acknowledge("z", "r", {"tokens": 1})]
+        u.acknowledge("b", "r", {"tokens": 50})
+        u.acknowledge("c", "r", {})
+        total = u.by_unit().filter("unit = 'tokens'").first()["total"]
+        return u.summary().select("*", F.lit(",".join(intents)).alias("intents"), F.lit(",".join(reported)).alias("reported"), F.lit(total).cast("long").alias("tokens"))
+
+
+@query("child_calls", "SELECT o_orderkey, o_orderstatus || '/' || (o_custkey % 7) AS said, 'succeeded' AS status FROM orders")
+def child_calls(t):
+    """One body for each distinct pair of arguments, joined back to every order that calls with it."""
+    from .plans.calls import Derived, Forwarded, call
+    from .plans.workspace import Workspace
+
+    orders = report.Source("orders", lambda previous: t.orders)
+    step = call("say", orders, ["o_orderkey"], {"state": Forwarded("o_orderstatus"), "rest": Derived("o_custkey % 7", ("o_custkey",))}, say, ["said"])
+    work = Workspace(t.spark, Scratch(t.spark, "ledger").root, "calls", step)
+    with work.run() as run:
+        return run.resolve(step).data
+
+
+def say(_members: DataFrame) -> DataFrame:
+    return _members.select("key", F.concat_ws("/", "state", F.col("rest").cast("string")).alias("said"))
+
+
+@query("frontier_members", "SELECT page_id, url FROM pages")
+def frontier_members(t):
+    """Pages loaded ten portions at a time by a traversal that is cut off once and goes on."""
+    from .streaming.traversal import Traversal
+
+    folder = Scratch(t.spark, "frontier").root
+    parts = 4
+    load = lambda cursor: (t.pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(parts)) == int(cursor or 0)).select("page_id", "url"), str(int(cursor or 0) + 1) if int(cursor or 0) + 1 < parts else None)
+    Traversal(t.spark, folder, "page_id", ["url"]).walk(load, most=2)
+    again = Traversal(t.spark, folder, "page_id", ["url"])
+    again.walk(load)
+    return again.members()[1]
+
+
+@query("request_recovery", "SELECT * FROM (VALUES ('absent', 'absent'), ('done', 'recovered'), ('broken', 'unsuccessful'), ('open', 'incomplete'), ('other intent', 'refused')) AS r(request, state)")
+def request_recovery(t):
+    from .plans.workspace import Workspace, WrongIntent
+
+    bad = report.Memo("broken", {"x": (x := report.Source("x", lambda previous: t.nation))}, {"x": ["n_name"]}, lambda x: x.select("gone"))
+    good = report.Memo("good", {"x": x}, {"x": ["n_name"]}, lambda x: x.select("n_name"))
+    work = Workspace(t.spark, Scratch(t.spark, "ledger").root, "requests", bad, good)
+    with work.run() as run:
+        run.resolve(good, "k")
+        run.resolve(bad, "k")
+        run._claim(good, "left open", "o")
+        states = [("absent", run.recover(good, "none")), ("done", run.recover(good, "k")), ("broken", run.recover(bad, "k")), ("open", run.recover(good, "o"))]
+        try:
+            run._claim(good, "another", "k")
+        except WrongIntent:
+            states.append(("other intent", "refused"))
+    return t.spark.createDataFrame(states, "request string, state string")

@@ -114,4 +114,40 @@ def prefixes(address: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(address)), lambda n: F.slice(address, 1, n))
 
 
+def encode_value(text: Column) -> Column:
+    """Canonical JSON of a JSON text: no spaces, strings escaped one way; null if it is no JSON. Keys of objects come in order."""
+    return F.try_parse_json(text).cast("string")
+
+
+def decode_value(text: Column) -> Column:
+    """The value of a canonical JSON text; null if the text is not the one that encoding its value gives."""
+    return F.when(encode_value(text) == text, F.try_parse_json(text))
+
+
+def record_from_entries(entries: Column) -> Column:
+    """A map of (key, value) entries; a repeated key is an error."""
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(entries)).otherwise(F.raise_error(F.lit("a key is given twice")))
+
+
+def json_each(text: Column, kind: str = "array<string>") -> Column:
+    """One row for each element of a JSON array; none for a text that is no array."""
+    return F.explode(F.from_json(text, kind))
+
+
+DAY_MS = 86_400_000
+
+
+def day_of(at_ms: Column) -> Column:
+    """The day, counted from the epoch, in which an instant lies; days are half open."""
+    return F.floor(at_ms / DAY_MS).cast("long")
+
+
+def closed_days(start_ms: Column, end_ms: Column, now_ms) -> Column:
+    """The whole days of a half-open window that are over: (first, count); a day still open at ``now_ms`` isn't counted."""
+    first = F.ceil(start_ms / DAY_MS).cast("long")
+    last = F.floor(F.least(end_ms, F.lit(now_ms) if isinstance(now_ms, int) else now_ms) / DAY_MS).cast("long")
+    return F.struct(first.alias("first"), F.greatest(last - first, F.lit(0)).alias("n"))
+
+
 __all__ = [n for n, v in list(globals().items()) if not n.startswith("_") and n not in ("annotations", "Column", "F", "T")]

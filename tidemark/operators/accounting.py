@@ -37,6 +37,11 @@ def estimates(est: DataFrame, quantities: DataFrame, on: str) -> DataFrame:
     return est.join(packed, on, "left")
 
 
+def estimates_by_scope(est: DataFrame, scope: str, basis: str, amount: str) -> DataFrame:
+    """Counts and sums of estimates by scope and basis."""
+    return est.groupBy(F.col(scope).alias("scope"), F.col(basis).alias("basis")).agg(F.count("*").alias("n"), safe_sum(F.sum(amount)).alias("amount"))
+
+
 def acknowledge(known: DataFrame, arriving: DataFrame, intents: DataFrame, key: list[str], attempt: str, content: str) -> DataFrame:
     """Arriving reports as acknowledged, duplicate, conflict (the first is kept) or unattributable."""
     first = known.select(*key, F.col(content).alias("_had"))

@@ -12,10 +12,11 @@ def key_evidence(df: DataFrame, key: str, consumed: list[str], salt: str = "") -
     """(key, evidence): one digest for each key over its rows' consumed columns, whatever their order.
 
     Sums and exclusive-or of two hashes with the count combine map-side, so that a key with
-    any number of rows needs constant room.
+    any number of rows needs constant room. The hashes start from different seeds, so that rows
+    which one can't tell apart the other can.
     """
     token = row_token(df, [c for c in consumed if c != key])
-    rows = df.select(F.col(key).cast("string").alias("key"), F.xxhash64(token).alias("a"), F.xxhash64(token, F.lit(salt), F.lit(1)).alias("b"))
+    rows = df.select(F.col(key).cast("string").alias("key"), F.xxhash64(F.lit(1), token).alias("a"), F.xxhash64(F.lit(f"2|{salt}"), token).alias("b"))
     parts = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("a").alias("x"), F.sum(F.col("a").cast("decimal(38,0)")).alias("s"), F.bit_xor("b").alias("y"), F.sum(F.col("b").cast("decimal(38,0)")).alias("t"))
     return parts.select("key", F.sha2(F.concat_ws("|", F.lit(salt), "n", "x", "s", "y", "t").cast("binary"), 256).alias("evidence"))
 
@@ -27,6 +28,36 @@ def projection_digest(df: DataFrame, group: list[str], key: Column, value: Colum
     return df.groupBy(*group).agg(F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
+#: What a body may observe of a value, and the part of its shredded index that answers: the columns of a node that are its evidence.
+OBSERVATIONS = {
+    "value": ["kind", "scalar", "fingerprint"], "own": ["present"], "membership": ["present"], "length": ["size"], "keys": ["names"],
+    "container-kind": ["kind"], "navigate": ["kind"], "order": ["place"],
+}
+
+
+def observe(index: DataFrame, address: str, operation: str, name: str | None = None) -> DataFrame:
+    """(key, fact): what one observation of each payload sees, and no more: a length is no element, a node no subtree."""
+    from . import tree
+
+    if operation not in OBSERVATIONS:
+        raise ValueError(f"no observation is called {operation}")
+    if operation == "own":
+        return tree.has_own(index, address, name).select("key", F.col("own").cast("string").alias("fact"))
+    if operation == "keys":
+        return tree.keys_below(index, address).select("key", F.array_join("names", ",").alias("fact"))
+    node = index.filter(F.col("address") == address)
+    fact = {"value": F.coalesce("fingerprint", "scalar"), "length": F.col("size").cast("string"), "container-kind": F.col("kind"), "navigate": F.col("kind")}
+    if operation not in fact:
+        raise ValueError(f"{operation} is observed of members, not of a payload")
+    return node.select("key", fact[operation].alias("fact"))
+
+
+def first_difference(recorded: DataFrame, current: DataFrame, on: list[str], order: str, fact: str) -> DataFrame:
+    """The first fact, in the order of consumption, that is not equal; no row if all are."""
+    state = compare_facts(recorded, current, on, fact).filter("state not in ('equal', 'added')")
+    return state.join(recorded.select(*on, order), on, "left").orderBy(order, *on).limit(1)
+
+
 def compare_facts(recorded: DataFrame, current: DataFrame, on: list[str], fact: str) -> DataFrame:
     """Each recorded or current fact as equal, changed, unavailable (gone) or added."""
     a = recorded.select(*on, F.col(fact).alias("_was"), F.lit(1).alias("_a"))

@@ -51,6 +51,55 @@ def status_lists(members: DataFrame) -> DataFrame:
     return members.groupBy("status").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
+def status_keys(members: DataFrame) -> DataFrame:
+    """(status, place, key): the keys of each status in canonical order, a row each; places count from 1.
+
+    Ranges of keys are numbered apart and shifted by the counts of the ranges before them, so that no status is one task's."""
+    order = canonical_order(F.col("key").cast("string"))
+    ranged = members.select("status", "key").repartitionByRange("status", order).withColumn("part", F.spark_partition_id())
+    by = Window.partitionBy("status", "part")
+    counts = ranged.groupBy("status", "part").count()  # a row for each status and range
+    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("status").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    return ranged.withColumn("r", F.row_number().over(by.orderBy(order))).join(before, ["status", "part"]).select("status", (F.col("r") + F.col("before")).alias("place"), "key")
+
+
+def places(df: DataFrame, order: Column, name: str = "place") -> DataFrame:
+    """The rows with their place, from 1, in one order over all of them. Ranges are numbered apart and shifted by the
+    counts of those before, so that only a row for each range comes to one task. Rows of equal rank are in any order."""
+    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy("_part").count()
+    before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return own.join(before, "_part").withColumn(name, F.col("_r") + F.col("_before")).drop("_part", "_r", "_before")
+
+
+def entries(members: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, status, data): data is a struct for succeeded members and null for all others; a row that breaks this raises."""
+    data = F.struct(*columns)
+    return members.select("key", "status", F.when(F.col("status") == "succeeded", data).alias("data"))
+
+
+def entry_data(entry: DataFrame, column: str) -> Column:
+    """A field of an entry's data; reading it of a member that has not succeeded is an error."""
+    return F.when(entry["status"] == "succeeded", entry["data"][column]).otherwise(F.raise_error(F.concat(F.lit("no data: "), entry["key"], F.lit(" is "), entry["status"])))
+
+
+def per_member(df: DataFrame, body: Callable, schema: str) -> DataFrame:
+    """``body(key, pandas rows) -> dict`` for each key, in its own group: a row with status and error for each key.
+
+    An error stays with its member. For bodies that no expression can state; a key's rows come to one task."""
+    import pandas as pd
+
+    def run(key, rows):
+        try:
+            got = {"key": key[0], **body(key[0], rows), "status": "succeeded", "error": None}
+        except Exception as e:
+            got = {"key": key[0], "status": "failed", "error": f"{type(e).__name__}: {e}"}
+        return pd.DataFrame([got]).reindex(columns=names)
+
+    names = ["key", *(f.split()[0] for f in schema.split(",")), "status", "error"]
+    return df.groupBy("key").applyInPandas(run, f"key string, {schema}, status string, error string")
+
 @dataclass(frozen=True)
 class Readiness:
     """Whether a fold may run: ready, waiting or failed, with the counts behind it."""
@@ -62,7 +111,11 @@ class Readiness:
 
 def readiness(members: DataFrame, discovery: str = "complete", outcome: bool = False) -> Readiness:
     """One aggregate decides. Skipped members never block; an empty complete population is ready."""
-    row = members.agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES)).first().asDict()
+    return settled(members.agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES)).first().asDict(), discovery, outcome)
+
+
+def settled(row: dict, discovery: str = "complete", outcome: bool = False) -> Readiness:
+    """``readiness`` from counts by status."""
     if discovery in ("rejected", "cancelled"):
         return Readiness("failed", row, False)
     still = discovery in ("open", "denied") or row["pending"] > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +58,25 @@ def keys_below(index: DataFrame, parent: str) -> DataFrame:
     """(key, names): the child segments under an address."""
     inner = parent[1:-1]
     prefix = f"[{inner}," if inner else "["
-    rest = F.substring(F.col("address"), len(prefix) + 1, 1 << 20)
-    child = F.col("address").startswith(prefix) & (F.col("address") != "[]") & ~F.regexp_replace(F.regexp_replace(rest, r'"(?:[^"\\]|\\.)*"', "s"), r"\]$", "").contains(",")
-    return index.filter(child).groupBy("key").agg(F.array_sort(F.collect_list(F.regexp_replace(rest, r"\]$", ""))).alias("names"))
+    rest = F.expr(f"substring(address, {len(prefix) + 1}, length(address) - {len(prefix) + 1})")  # without the closing bracket
+    child = F.col("address").startswith(prefix) & (F.json_array_length("address") == len(json.loads(parent)) + 1)
+    return index.filter(child).groupBy("key").agg(F.array_sort(F.collect_list(rest)).alias("names"))
+
+
+def membership(index: DataFrame, parent: str, name: str, inherited: frozenset | set = frozenset()) -> DataFrame:
+    """(key, member): whether each payload's record has the property, itself or among the inherited names."""
+    return has_own(index, parent, name).select("key", (F.col("own") | F.lit(name in inherited)).alias("member"))
+
+
+def node_at(index: DataFrame, address: str) -> DataFrame:
+    """(key, kind, scalar, size): the node at an address, without what lies below it."""
+    return index.filter(F.col("address") == address).select("key", "kind", "scalar", "size")
+
+
+def selection(index: DataFrame, keys: DataFrame, address: str, form: str = "fact") -> DataFrame:
+    """(key, value): one selected fact, or its fingerprint, of the asked payloads."""
+    column = {"fact": "scalar", "fingerprint": "fingerprint"}[form]
+    return index.filter(F.col("address") == address).join(keys.select("key"), "key", "left_semi").select("key", F.col(column).alias("value"))
 
 
 def verified(df: DataFrame, key: str, index: DataFrame) -> bool:

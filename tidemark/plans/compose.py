@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import inspect
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 
-
-def code_digest(*functions: Callable) -> str:
-    """SHA-256 of the sources of a body and its declared helpers."""
-    text = []
-    for f in functions:
-        try:
-            text.append(inspect.getsource(f))
-        except (OSError, TypeError):
-            code = getattr(f, "__code__", None)
-            text.append(repr((code.co_code, code.co_consts, code.co_names)) if code else repr(f))
-    return hashlib.sha256("\n".join(text).encode()).hexdigest()
+from .identity import code_digest
 
 
 @dataclass(frozen=True, eq=False)
@@ -91,16 +80,28 @@ class Fold(Step):
         return (self.over,)
 
 
+@dataclass(frozen=True, eq=False)
+class Slot(Step):
+    """A step supplied by name when the composition is formed; what is bound to it is evidence like any step."""
+
+
 class Composition:
-    """Steps by name, each once, with all children included and no cycle."""
+    """Steps by name, each once, with all children included and no cycle. ``bind``: the steps that slots stand for."""
 
-    def __init__(self, *roots: Step):
+    def __init__(self, *roots: Step, bind: dict[str, Step | tuple[Step, ...]] | None = None):
+        self.bind = {k: v if isinstance(v, tuple) else (v,) for k, v in (bind or {}).items()}
         self.steps: dict[str, Step] = {}
         self.order: list[Step] = []
+        self.edges: set[tuple[str, str]] = set()
         for r in roots:
             self._add(r, ())
 
     def _add(self, step: Step, above: tuple[Step, ...]) -> None:
+        if isinstance(step, Slot):
+            state, bound = self.resolution(step.name)
+            if state != "bound":
+                return
+            step = bound
         if step in above:
             raise ValueError(f"{step.name} depends on itself")
         had = self.steps.get(step.name)
@@ -109,12 +110,48 @@ class Composition:
         if had is not None:
             raise ValueError(f"two steps are named {step.name}")
         for c in step.children:
+            self.edges.add((step.name, c.name))
             self._add(c, (*above, step))
         self.steps[step.name] = step
         self.order.append(step)
 
+    def resolution(self, name: str) -> tuple[str, Step | int | None]:
+        """("bound", the step), ("missing", None), or ("ambiguous", how many are bound); never guessed."""
+        found = self.bind.get(name, ())
+        if not found and name in self.steps:
+            return "bound", self.steps[name]
+        return ("bound", found[0]) if len(found) == 1 else ("ambiguous", len(found)) if found else ("missing", None)
+
+    def bound(self, step: Step) -> Step:
+        if not isinstance(step, Slot):
+            return step
+        state, found = self.resolution(step.name)
+        if state != "bound":
+            raise LookupError(f"slot {step.name} is {state}")
+        return found
+
     def resolve_name(self, name: str) -> Step:
         """The step of that name; a missing one is an error, never guessed."""
         if name not in self.steps:
             raise LookupError(f"no step is named {name}")
         return self.steps[name]
+
+    def reconnect(self, witness: str) -> tuple[Step, Step]:
+        """The current parent and child of a recorded call; its edge must still be declared."""
+        kind, version, parent, child = json.loads(witness)
+        if (kind, version) != ("call", 1):
+            raise ValueError("the witness has another format")
+        if (parent, child) not in self.edges:
+            raise LookupError(f"{parent} no longer calls {child}")
+        state, found = self.resolution(child)
+        if state != "bound":
+            raise LookupError(f"{child} is {state}")
+        return self.resolve_name(parent), found
+
+    def witness(self, parent: str, child: str) -> str:
+        """The record of a call by the names of its ends."""
+        if (parent, child) not in self.edges:
+            raise LookupError(f"{parent} does not call {child}")
+        return json.dumps(["call", 1, parent, child])
+
+__all__ = ["Composition", "Fold", "Memo", "Slot", "Source", "Step", "Template", "code_digest"]

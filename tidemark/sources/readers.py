@@ -59,6 +59,26 @@ def select_people(roster: DataFrame, selected: list[str]) -> DataFrame:
     return got
 
 
+def read_details(spark: SparkSession, pulls: str, discussions: str) -> tuple[DataFrame, DataFrame]:
+    """Details and discussions of pull requests as JSON lines: unique ids, and a discussion only of a known one."""
+    item = "array<struct<id:long,body:string,author:string,at:long>>"
+    p = unique(spark.read.schema("id string, title string, body string, diff string, merged boolean, terminalAt long, latestActivity long, complete boolean, labels array<string>").json(pulls), "id")
+    d = unique(spark.read.schema(f"id string, reviews {item}, comments {item}, inlineComments {item}, latestActivity long, complete boolean").json(discussions), "id")
+    return p, known(d, "id", p, "id")
+
+
+def discussion_items(discussions: DataFrame) -> DataFrame:
+    """(id, kind, item, author, at): every review, comment and inline comment, a row each."""
+    items = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: F.struct(F.lit(c).alias("kind"), x["id"].alias("item"), x["author"].alias("author"), x["at"].alias("at")))
+    kinds = F.array(*map(items, ("reviews", "comments", "inlineComments")))
+    return discussions.select("id", F.explode(F.flatten(kinds)).alias("x")).select("id", "x.*")
+
+
+def expired_claims(subjects: DataFrame, key: str, lease: str, now, limit: int) -> DataFrame:
+    """The subjects whose lease ended before now, the longest expired first."""
+    return subjects.filter(F.col(lease) < now).orderBy(lease, key).limit(limit).select(F.col(key).alias("subject"), F.col(lease).alias("lease"))
+
+
 def bisect_days(start: date, end: date, count: Callable[[date, date], int], most: int) -> list[tuple[date, date]]:
     """Half-open day ranges with at most ``most`` results each; a single day beyond that is an error."""
     todo, out = [(start, end)], []

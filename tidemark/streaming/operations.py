@@ -15,6 +15,10 @@ from dataclasses import dataclass, field
 HISTORY = 8
 
 
+class RateLimited(RuntimeError):
+    """The remote side asks to come later."""
+
+
 @dataclass(frozen=True)
 class Decision:
     """retry (not before an instant), or give up."""
@@ -42,12 +46,20 @@ class Operations:
         self.ledger, self.lease, self.collection, self.clock = ledger, lease, collection, clock
 
     def get(self, key: str) -> Operation:
-        from pyspark.sql import functions as F
+        row = self.ledger.journal().get((self.collection, key))
+        return Operation(**json.loads(row["content"]), revision=row["revision"]) if row else Operation(key)
+
+    def inspect(self, *statuses: str) -> list[Operation]:
+        """All operations, or those in some states, by key."""
+        rows = sorted((k, r) for (c, k), r in self.ledger.journal().items() if c == self.collection)
+        found = [Operation(**json.loads(r["content"]), revision=r["revision"]) for _, r in rows]
+        return [o for o in found if not statuses or self.state(o) in statuses]
 
-        row = self.ledger.table("journal").filter((F.col("collection") == self.collection) & (F.col("key") == key)).orderBy(F.desc("revision")).first()
-        if row is None:
-            return Operation(key)
-        return Operation(**json.loads(row["content"]), revision=row["revision"])
+    def state(self, op: Operation) -> str:
+        """One of the nine states that an operator sees."""
+        if op.status == "waiting":
+            return "due" if op.not_before <= self.clock() else "rate-limited" if op.attempts and op.attempts[-1].get("limited") else "waiting"
+        return op.status  # new, sending, unsettled, succeeded, failed or abandoned
 
     def _put(self, op: Operation) -> None:
         content = {k: v for k, v in op.__dict__.items() if k != "revision"}
@@ -55,6 +67,41 @@ class Operations:
             raise RuntimeError(f"{op.key} was changed by another")
         op.revision += 1
 
+    def passes(self, work: dict[str, Callable[[], str]], policy=default_policy, sleep: Callable[[float], None] | None = time.sleep, stop: StopController | None = None) -> int | None:
+        """Runs operations pass after pass until none waits; returns None, or, without ``sleep`` or once stopped, the instant at which to come again."""
+        while True:
+            ops = [self.run(k, f, policy) for k, f in work.items() if stop is None or stop.now() == "none"]
+            late = [o.not_before for o in ops if o.status == "waiting"]
+            if stop is not None and stop.now() != "none":
+                return min(late, default=self.clock())
+            if not late:
+                return None
+            if sleep is None:
+                return min(late)
+            if not self.sleep_until(min(late), sleep, stop):
+                return min(late)
+
+    def sleep_until(self, at: int, sleep: Callable[[float], None] = time.sleep, stop: StopController | None = None, step: int = 1000) -> bool:
+        """Waits until an instant in short steps; False if it was stopped. Runs on the driver, so that no task is held."""
+        while (now := self.clock()) < at:
+            if stop is not None and stop.now() != "none":
+                return False
+            sleep(min(step, at - now) / 1000)
+        return True
+
+    def send(self, key: str, request: Callable[[], str], pool: PermitPool, stop: StopController | None = None, usage=None) -> Operation:
+        """One guarded send: refused once stopped, under a permit, its intent recorded before it and its outcome after."""
+        if stop is not None and stop.now() != "none":
+            return self.get(key)
+        if not pool.acquire(key):
+            return self.get(key)
+        try:
+            if usage is not None:
+                usage.record_intent(key, str(len(self.get(key).attempts) + 1))
+            return self.run(key, request)
+        finally:
+            pool.release()
+
     def run(self, key: str, perform: Callable[[], str], policy=default_policy) -> Operation:
         """One pass: the operation ends as succeeded, failed, waiting or unsettled."""
         op = self.get(key)
@@ -74,6 +121,7 @@ class Operations:
         except Exception as e:
             op.attempts[-1]["error"] = str(e)
             known = [a.get("not_before", 0) for a in op.attempts]
+            op.attempts[-1]["limited"] = isinstance(e, RateLimited)
             d = policy(len(op.attempts), str(e), op.attempts[-HISTORY - 1 : -1], self.clock())
             op.status, op.not_before = ("waiting", max([d.not_before, *known])) if d.retry else ("failed", 0)
             op.attempts[-1]["not_before"] = op.not_before
