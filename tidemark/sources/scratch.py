@@ -41,6 +41,8 @@ class Scratch:
         return out
 
     def drop(self, *labels: str) -> None:
+        """Some tables, or all of them."""
+        labels = labels or tuple(self.labels)
         conf = self.spark._jsc.hadoopConfiguration()
         for label in labels:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
