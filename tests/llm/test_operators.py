@@ -552,3 +552,36 @@ def test_spans_of_other_secrets_and_of_texts_beyond_ascii():
     got = [(secrets.RULES[r][0], text[s:e]) for s, r, e in secrets.spans(text)]
     assert got == [("key", pem)] + [("assign", "token=abcdef1")] * 3000
     assert secrets.redact(text) == "é" * 9 + "[SECRET]門 " + "é [SECRET] " * 3000
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = base.withColumns({"kept_id": F.lit(1), "row0": F.lit(2), "kept_row": F.lit(3), "component_id": F.lit(4), "score": F.lit(5.0), "size": F.lit(6), "shard": F.lit(7)})
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        (labels if name == "odd" else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, now, folder).columns == docs.columns
+        out = corpus_pipeline.run(spark, folder)
+        assert (out.count() == 0) == (name == "empty")
+
+
+def test_packed_query_holds_every_word_once_and_keeps_its_rules(spark):
+    """op8's query: pieces cover each document's words, bins hold their room, sources and clusters, and each shard is best fit."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = queries.QUERIES["op8_packing"](spark, SF).toPandas()
+    words = {r.doc_id: (len(re.findall(r"[^ \t\n\x0b\f\r]+", r.text or "")), r.source, " ".join((r.text or "").lower().split())) for r in docs.collect()}
+    assert got.groupby("doc_id").n_words.sum().to_dict() == {i: n for i, (n, _, _) in words.items()}
+    full = got[got.bin_id.notna()].sort_values(["bin_id", "bin_start"])
+    for _, b in full.groupby("bin_id"):
+        assert b.bin_start.tolist() == [0, *np.cumsum(b.n_words)[:-1]] and b.n_words.sum() <= packing.ROOM
+        assert b.doc_id.map(lambda i: words[i][1] or "").value_counts().max() <= packing.PER_SOURCE and b.doc_id.map(lambda i: words[i][2]).is_unique
+    order = full.assign(c=full.doc_id.map(lambda i: words[i][2])).sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True])
+    bins = [b & 0xFFFFFFFF for b in order.bin_id.astype("int64")]
+    want = packing.best_fit(order.n_words.tolist(), order.doc_id.map(lambda i: words[i][1]).tolist(), order.c.tolist(), packing.ROOM)
+    assert full.bin_id.astype("int64").floordiv(1 << 32).nunique() == 1 and sorted(zip(bins, order.bin_start, strict=True)) == sorted(want)

@@ -1,64 +1,23 @@
-"""Shared plumbing of the training-data operators: tables in the shared folder,
-Arrow batches cut into bounded pieces, and whole-text word hashing in numpy."""
+"""Shared plumbing of the training-data operators: Arrow batches cut into bounded pieces, and whole-text word hashing in numpy."""
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_dir  # noqa: F401
+
 #: Bytes of text that one numpy step holds at a time (temporaries take some 40 times that).
 CHUNK_BYTES = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-class Scratch:
-    """Parquet tables in the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def table(self, df: DataFrame, label: str) -> DataFrame:
-        path = f"{self.root}/{label}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def only(self, df: DataFrame, label: str) -> DataFrame:
-        """The result as a table; all other tables go."""
-        out = self.table(df, label)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
-        self.drop(*(n for n in (f.getPath().getName() for f in found) if n != label))
-        return out
-
-    def drop(self, *labels: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        for label in labels or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}" if label else self.root)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def text_docs(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; other columns, clashing names included, do not reach the operator."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

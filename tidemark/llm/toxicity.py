@@ -159,10 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, groups=
     ids = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     wanted = F.broadcast(ids.select("doc_id").distinct())  # at most `sample` ids
     texts = text_docs(docs).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # one text an id, however many rows have it
-    rows = Scratch(docs.sparkSession, "toxicity").table(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), "rows")  # at most `sample` rows
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.table(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), "rows")  # at most `sample` rows
     share = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     n, p = share["n"] or 0, share["p"] or 0
     if not n or p in (0, n):
+        scratch.drop()
         return {"kept": np.zeros(1, np.int64), "w": np.zeros(1, np.float32), "b": 20.0 if n and p == n else -20.0}
     counts = rows.mapInArrow(_counts, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (p - F.col("pos") + 0.5)) - F.log((F.col("neg") + 0.5) / (n - p - F.col("neg") + 0.5))
@@ -170,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, groups=
     best = counts.filter(F.col("pos") + F.col("neg") >= min(LEAST_TEXTS, n // 100 + 2)).withColumn("z", F.abs(odds / spread)).orderBy(F.desc("z"), "bucket").limit(KEPT)
     kept = np.unique(np.concatenate([np.array([r[0] for r in best.select("bucket").collect()], np.int64), _identity_buckets(groups)]))
     got = rows.mapInArrow(_kept_features(kept, groups), "toxic int, x binary, swapped binary").toArrow()
+    scratch.drop()
     x = np.zeros((got.num_rows, len(kept)), np.float32)
     y = got.column("toxic").to_numpy().astype(np.float32)
     change = []
