@@ -301,10 +301,15 @@ def test_media_round_trip_and_decoders(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
         media = telephony.write_wav(pay)
         assert r["media_sha256"] == hashlib.sha256(media).hexdigest() and telephony.read_wav(media) == (7, 8000, pay)
-    assert telephony.media_features([telephony.payload_of("a"), telephony.payload_of("b" * 500)])[1] == telephony.media_features([telephony.payload_of("b" * 500)])[0]
+        pcm = telephony.write_wav(telephony.resample_double(mu[np.frombuffer(pay, np.uint8)], np.array([0, len(pay)])).astype("<i2").tobytes(), telephony.PCM, 16000, 16)
+        assert (r["pcm_bytes"], r["pcm_sha256"]) == (len(pcm), hashlib.sha256(pcm).hexdigest())
+    assert telephony.media_features([telephony.payload_of("a"), telephony.payload_of("b" * 500)])[0][1] == telephony.media_features([telephony.payload_of("b" * 500)])[0][0]
     with pytest.raises(ValueError):
         telephony.read_wav(telephony.write_wav(b"x" * 192)[:-1])
-    assert telephony.resampled_pcm(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["pcm"] is not None
+    tag, rate, pcm = telephony.read_wav(bytes(telephony.resampled_pcm(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["pcm"]))
+    assert (tag, rate) == (telephony.PCM, 16000) and np.frombuffer(pcm, "<i2").tolist() == [int(mu[32])] * 384
+    row = telephony.stored_media(spark.createDataFrame([(1, "é")], "doc_id long, text string")).first()
+    assert bytes(row.payload) == "é".encode() + b" " * 190 and telephony.read_wav(bytes(row.media))[2] == bytes(row.payload)
 
 
 # -- pipeline ---------------------------------------------------------------------------------

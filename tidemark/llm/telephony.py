@@ -20,7 +20,7 @@ from .common import pieces, text_docs
 
 UNIT = 192
 RATE = 8000
-MU_LAW, A_LAW, IMA_ADPCM = 7, 6, 17
+PCM, MU_LAW, A_LAW, IMA_ADPCM = 1, 7, 6, 17
 #: Fixed values of the IMA ADPCM format: step sizes and index changes.
 STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -90,10 +90,10 @@ def payload_of(text: str | None) -> bytes:
     return data + b" " * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
 
 
-def write_wav(data: bytes, tag: int = MU_LAW, rate: int = RATE) -> bytes:
+def write_wav(data: bytes, tag: int = MU_LAW, rate: int = RATE, bits: int = 8) -> bytes:
     """A mono WAV file whose samples are the bytes as they are."""
-    fmt = struct.pack("<HHIIHHH", tag, 1, rate, rate, 1, 8, 0)
-    body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, len(data)) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    fmt = struct.pack("<HHIIHHH", tag, 1, rate, rate * bits // 8, bits // 8, bits, 0)
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, len(data) * 8 // bits) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -133,55 +133,60 @@ def _told(pcm: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(peak.tolist(), energy.tolist(), np.add.reduceat(turn, cuts[:-1]).tolist(), strict=True))
 
 
-def media_features(payloads: list[bytes]) -> list[str]:
-    """One line for each payload, from its mu-law, A-law and ADPCM reading and its resampled PCM."""
+def media_features(payloads: list[bytes]) -> tuple[list[str], list[bytes]]:
+    """A line for each payload, from its mu-law, A-law and ADPCM reading and its resampled PCM, and that PCM."""
     if not payloads:
-        return []
+        return [], []
     codes = np.frombuffer(b"".join(payloads), np.uint8)
     cuts = np.cumsum([0, *map(len, payloads)])
     mu = _MU[codes]
     ima = decode_ima(codes.reshape(-1, UNIT))
     double = resample_double(mu, cuts).tobytes()
-    rows = zip(_told(mu, cuts), _told(_A[codes], cuts), _told(ima.ravel(), cuts // UNIT * ima.shape[1]), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+    pcm = [double[4 * s : 4 * e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    rows = zip(_told(mu, cuts), _told(_A[codes], cuts), _told(ima.ravel(), cuts // UNIT * ima.shape[1]), pcm, strict=True)
     line = lambda name, x: f"{name}:{x[0]}:{x[1]}:{x[2]}"
-    return [f"{line('mu', m)};{line('a', a)};{line('ima', i)};pcm{2 * RATE}:{zlib.crc32(double[4 * s : 4 * e]):08x}" for m, a, i, s, e in rows]
+    return [f"{line('mu', m)};{line('a', a)};{line('ima', i)};pcm{2 * RATE}:{zlib.crc32(p):08x}" for m, a, i, p in rows], pcm
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Columns of the operator; media and pcm are the stored WAV files.
+MEDIA = "doc_id long, n_bytes long, payload binary, media binary, feature string, pcm binary"
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, limit=1 << 20):
             texts = part.column(1).to_pylist()
             media = [write_wav(payload_of(t)) for t in texts]
             back = [read_wav(m)[2] for m in media]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                    pa.array([len(b) for b in back], pa.int64()),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
-                    pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()),
-                    pa.array([len(m) for m in media], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
-                    pa.array(media_features(back), pa.string()),
-                ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+            lines, pcm = media_features(back)
+            files = [write_wav(p, PCM, 2 * RATE, 16) for p in pcm]
+            size = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            columns = [part.column(0), pa.array(size, pa.int64()), pa.array(back, pa.binary()), pa.array(media, pa.binary()), pa.array(lines, pa.string()), pa.array(files, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload", "media", "feature", "pcm"])
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Sizes, digests and features of every text stored as telephony audio and read back."""
-    return text_docs(docs).mapInArrow(
-        _rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+def stored_media(docs: DataFrame) -> DataFrame:
+    """Every text stored as mu-law audio and read back, its features, and its resampled 16-bit PCM as a WAV file."""
+    return text_docs(docs).mapInArrow(_stored, MEDIA)
 
 
-def resampled_pcm(docs: DataFrame) -> DataFrame:
-    """doc_id and the resampled 16-bit PCM of each text's mu-law reading, as bytes."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = lambda files: pa.array([hashlib.sha256(f).hexdigest() for f in files], pa.string())
+    size = lambda files: pa.array([len(f) for f in files], pa.int64())
+    for b in _stored(batches):
+        payload, media, pcm = (b.column(i).to_pylist() for i in (2, 3, 5))
+        if any(read_wav(f)[:2] != (PCM, 2 * RATE) for f in pcm):
+            raise ValueError("stored PCM does not read back")
+        columns = [b.column(0), b.column(1), size(payload), digest(payload), pa.array([zlib.crc32(p[-16:]) for p in payload], pa.int64()), size(media), digest(media), b.column(4), size(pcm), digest(pcm)]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _DIGESTS.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, limit=1 << 20):
-                pcm = [_MU[np.frombuffer(payload_of(t), np.uint8)] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([resample_double(p, np.array([0, len(p)])).tobytes() for p in pcm], pa.binary())], names=["doc_id", "pcm"])
 
-    return text_docs(docs).mapInArrow(run, "doc_id long, pcm binary")
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Sizes, digests and features of ``stored_media``, taken in the worker that stores it, so that no audio leaves it."""
+    return text_docs(docs).mapInArrow(_digests, _DIGESTS)
+
+
+def resampled_pcm(docs: DataFrame) -> DataFrame:
+    """doc_id and the resampled 16-bit PCM of each text's mu-law reading, as a WAV file."""
+    return stored_media(docs).select("doc_id", "pcm")
