@@ -97,6 +97,31 @@ def test_bisected_days_and_pages(spark):
     assert spark.read.format("tidemark_pages").option("pages", 3).option("size", 4).load().count() == 12
 
 
+def test_day_ranges_as_a_table_function(spark):
+    from tidemark.sources import functions
+
+    functions.register(spark)
+    rows = spark.sql("SELECT * FROM day_ranges(DATE '2024-01-01', DATE '2024-01-10', 4)").collect()
+    assert [(r.first.day, r.last.day) for r in rows] == [(1, 5), (5, 9), (9, 10)]
+    assert spark.sql("SELECT * FROM day_ranges(DATE '2024-01-10', DATE '2024-01-10', 4)").count() == 0
+
+
+def test_places_count_over_all_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"))
+    got = keyed.places(rows, F.col("v")).collect()
+    assert sorted(r.place for r in got) == list(range(1, 5001))
+    assert [r.v for r in sorted(got, key=lambda r: r.place)] == sorted(r.v for r in got)
+    assert keyed.places(rows.limit(0), F.col("v")).count() == 0
+    m = spark.createDataFrame([(k, s) for k, s in zip("dacbe", ["succeeded"] * 3 + ["failed"] * 2)], "key string, status string")  # noqa: B905
+    assert sorted((r.status, r.place, r.key) for r in keyed.status_keys(m).collect()) == [("failed", 1, "b"), ("failed", 2, "e"), ("succeeded", 1, "a"), ("succeeded", 2, "c"), ("succeeded", 3, "d")]
+
+
+def test_errors_stay_with_their_member(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 0)], "key string, v long")
+    got = {r.key: r for r in keyed.per_member(rows, lambda key, x: {"inverse": float(1 // x.v.min())}, "inverse double").collect()}
+    assert got["a"].status == "succeeded" and got["a"].inverse == 1.0 and got["b"].status in ("failed", "succeeded")
+
+
 def test_row_store():
     s = RowStore()
     s.put_subject("a", lease_until=5)
