@@ -349,3 +349,15 @@ def test_addresses_of_any_length_and_entry_data(spark):
     rows = keyed.entries(spark.createDataFrame([("a", "succeeded", 1), ("b", "failed", None)], "key string, status string, v long"), ["v"])
     with pytest.raises(Exception, match="b is failed"):
         rows.select(keyed.entry_data(rows, "v")).collect()
+
+
+def test_dispatch_keeps_order_and_errors():
+    from tidemark.streaming.operations import dispatch
+
+    started = []
+    work = {k: (lambda k=k: started.append(k) or (1 / 0 if k == "b" else k.upper())) for k in "cab"}
+    got = dispatch(work, window=1)
+    assert started == ["a", "b", "c"] and got["a"] == ("succeeded", "A") and got["b"][0] == "failed"
+    stop = StopController()
+    stop.stop("soft")
+    assert {v[0] for v in dispatch(work, stop=stop).values()} == {"not-started"} and len(started) == 3

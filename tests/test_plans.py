@@ -394,3 +394,25 @@ def test_check_members(spark, tmp_path):
     states = Workspace(spark, w.folder, "test", w.fold).check_members(w.each)
     assert states.count() == 6, "a check reads the source that is retained"
     assert {r.state for r in states.collect()} == {"reusable"}
+
+
+def test_untracked_columns_are_no_evidence(spark, tmp_path):
+    data = [(1, "a")]
+    source = Source("s", lambda previous: spark.createDataFrame(data, "id long, note string"))
+    memo = Memo("m", {"s": source}, {"s": ["id"]}, lambda s: s, untracked={"s": ("note",)})
+    for note, want in (("a", {"m": 1}), ("b", {})):
+        data[0] = (1, note)
+        work = Workspace(spark, str(tmp_path / "l"), "t", memo)
+        with work.run() as run:
+            assert run.resolve(memo).data.first().note == "a" and {k: v for k, v in run.bodies.items() if k == "m"} == want
+    assert [r["detail"] for r in work.ledger.records("events") if r["kind"] == "untracked"] == ["s: note"] * 2
+
+
+def test_a_failing_policy_is_a_failed_source(spark, tmp_path):
+    good = Source("s", lambda previous: spark.range(2))
+    with Workspace(spark, str(tmp_path / "l"), "t", good).run() as run:
+        run.resolve(good)
+    for bad in (Source("s", lambda previous: 1 / 0), Source("s", lambda previous: None, finality=lambda previous: 1 / 0)):
+        with Workspace(spark, str(tmp_path / "l"), "t", bad).run() as run:
+            assert run.resolve(bad).state == "failed" and "ZeroDivisionError" in run.resolve(bad).reason
+    assert Workspace(spark, str(tmp_path / "l"), "t", good).ledger.table("results").count() == 1

@@ -37,6 +37,8 @@ class Memo(Step):
     consumes: dict[str, list[str]]
     body: Callable[..., DataFrame]
     helpers: tuple[Callable, ...] = ()
+    #: Columns that the body sees beside those it consumes and that are no evidence; each use is an event of the run.
+    untracked: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @property
     def children(self):

@@ -326,7 +326,9 @@ class Run:
             return bad
         parts = {"code": code_digest(step.body, *step.helpers)} | self._input_parts(step, got, step.inputs, step.consumes)
         fact = digest_of(step.name, step.version, parts)
-        cut = {n: o.data.select(*step.consumes[n]) for n, o in got.items()}
+        cut = {n: o.data.select(*step.consumes[n], *step.untracked.get(n, ())) for n, o in got.items()}
+        for n, columns in step.untracked.items():
+            self.event("untracked", step.name, f"{n}: {', '.join(columns)}")
         return self._reuse_or_run(step, fact, parts, [o.token for o in got.values() if o.token], lambda: step.body(**cut), key)
 
     def _template(self, step: Template, key: str | None) -> Outcome:

@@ -184,3 +184,22 @@ class StopController:
         if self.level == "soft" and self.deadline is not None and self.clock() >= self.deadline:
             self.level = "hard"
         return self.level
+
+
+def dispatch(members: dict[str, Callable[[], object]], window: int = 8, stop: StopController | None = None) -> dict[str, tuple[str, object]]:
+    """Runs calls to remote sides, at most ``window`` at once, started in canonical key order; an error stays with its member.
+
+    (state, value or error) of each: succeeded, failed, or not-started after a stop. For driver-side work alone: data goes through plans."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(body):
+        if stop is not None and stop.now() != "none":
+            return "not-started", None
+        try:
+            return "succeeded", body()
+        except Exception as e:
+            return "failed", e
+
+    keys = sorted(members, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+    with ThreadPoolExecutor(window) as pool:
+        return dict(zip(keys, pool.map(lambda k: one(members[k]), keys), strict=True))
