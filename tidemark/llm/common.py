@@ -23,6 +23,19 @@ def text_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def one_row_each(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, text) of some keys, one row each: of several texts the one with the least digest.
+
+    ``wanted`` is a bounded sample, broadcast and, with a digest for each, collected. Texts are shuffled only if a key repeats."""
+    own = rows.join(F.broadcast(wanted.select(*keys)), keys)
+    found = own.select(*keys, F.xxhash64("text").alias("digest")).groupBy(*keys).agg(F.min("digest").alias("digest"), F.count("*").alias("n")).collect()
+    if all(r["n"] == 1 for r in found):
+        return own
+    picked = rows.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], rows.select(*keys, F.lit(0).cast("long").alias("digest")).schema)
+    same = own.withColumn("digest", F.xxhash64("text")).join(F.broadcast(picked), [*keys, "digest"])
+    return same.groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def fold_mod(column: str, k: int):
     """crc32 of the id as text, modulo k."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(k)

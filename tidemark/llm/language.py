@@ -8,8 +8,8 @@ matrix, and texts are scored in batches by matrix products.
 
 Null texts and texts without a letter are ``und`` with score 0; rows with a null language or
 id teach nothing; without any learnable row every text is ``und``. Ties go to the first
-language in alphabetical order. Of several rows of one id and language the least text
-teaches, once; repeated rows are predicted each, texts of any length whole. Extra columns
+language in alphabetical order. Of several rows of one id and language the text with the
+least digest teaches, once; repeated rows are predicted each, texts of any length whole. Extra columns
 never reach the operator.
 """
 
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_mod, mix64, pieces, text_docs
+from .common import fold_mod, mix64, one_row_each, pieces, text_docs
 
 #: Rows of each language to learn from at most, languages to learn at most (those with most rows), and landmarks in all.
 ROWS_EACH, LANGUAGES, LANDMARKS = 600, 128, 256
@@ -91,7 +91,7 @@ def train(docs: DataFrame, rows_each: int = ROWS_EACH, languages: int = LANGUAGE
     drawn = (F.xxhash64(F.lit(7), "doc_id") / F.lit(2.0**64) + 0.5) < F.col("share")
     ids = rows.select("lang", "doc_id").join(F.broadcast(share), "lang").filter(drawn).groupBy("lang", "doc_id").agg(F.lit(1).alias("one"))  # a few thousand a language
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= rows_each).select("lang", "doc_id")
-    rows = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # rows_each for each language at most
+    rows = one_row_each(rows, ids, ["lang", "doc_id"])  # rows_each for each language at most
     got = rows.select("doc_id", "text", "lang").mapInArrow(_packed, "doc_id long, lang string, bits binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     if not got.num_rows:
         return {"langs": [], "w": np.zeros((1 << BITS, 0), np.float32), "b": np.zeros(0, np.float32)}

@@ -7,7 +7,7 @@ can't carry weight of its own.
 
 Null and empty texts get the score of a text without features; labels that are null or name
 no document teach nothing; an id labelled twice counts as often as it is labelled, and of
-several texts of one id the least teaches. Without any labelled row of both classes the score
+several texts of one id the one with the least digest teaches. Without any labelled row of both classes the score
 is the share of label 1 (0 if none). Repeated rows are scored each, texts of any length whole.
 Extra columns never reach the operator.
 """
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, SpanHasher, fold_mod, pieces, text_docs, utf8
+from .common import SpanHasher, fold_mod, one_row_each, pieces, text_docs, utf8
 
 #: Labelled rows to learn from at most, those with the smallest digest of their id.
 SAMPLE_ROWS = 20_000
@@ -157,14 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, groups=
     """The model: kept buckets, their weights, the intercept. ``docs`` and ``labels`` are the rows allowed for learning."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     ids = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    wanted = F.broadcast(ids.select("doc_id").distinct())  # at most `sample` ids
-    texts = text_docs(docs).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # one text an id, however many rows have it
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = scratch.table(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), "rows")  # at most `sample` rows
+    texts = one_row_each(text_docs(docs), ids.select("doc_id").distinct(), ["doc_id"])
+    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")  # at most `sample` rows
     share = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     n, p = share["n"] or 0, share["p"] or 0
     if not n or p in (0, n):
-        scratch.drop()
         return {"kept": np.zeros(1, np.int64), "w": np.zeros(1, np.float32), "b": 20.0 if n and p == n else -20.0}
     counts = rows.mapInArrow(_counts, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (p - F.col("pos") + 0.5)) - F.log((F.col("neg") + 0.5) / (n - p - F.col("neg") + 0.5))
@@ -172,7 +169,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, groups=
     best = counts.filter(F.col("pos") + F.col("neg") >= min(LEAST_TEXTS, n // 100 + 2)).withColumn("z", F.abs(odds / spread)).orderBy(F.desc("z"), "bucket").limit(KEPT)
     kept = np.unique(np.concatenate([np.array([r[0] for r in best.select("bucket").collect()], np.int64), _identity_buckets(groups)]))
     got = rows.mapInArrow(_kept_features(kept, groups), "toxic int, x binary, swapped binary").toArrow()
-    scratch.drop()
     x = np.zeros((got.num_rows, len(kept)), np.float32)
     y = got.column("toxic").to_numpy().astype(np.float32)
     change = []
