@@ -28,6 +28,8 @@ from .common import fold_mod, mix64, one_row_each, pieces, text_docs
 #: Rows of each language to learn from at most, languages to learn at most (those with most rows), and landmarks in all.
 ROWS_EACH, LANGUAGES, LANDMARKS = 600, 128, 256
 BITS, ORDERS = 14, (1, 2, 3)
+#: Rows whose flags are held at a time, 80 KB each.
+ROWS_AT_ONCE = 256
 RIDGE = 1e-2
 _PLACE = mix64(np.arange(11, 11 + max(ORDERS), dtype=np.uint64)) | np.uint64(1)
 
@@ -56,8 +58,10 @@ def presence(col: pa.Array) -> np.ndarray:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, limit=1 << 20):
-            bits = np.packbits(presence(part.column(1)), axis=1)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
+            for at in range(0, part.num_rows, ROWS_AT_ONCE):
+                some = part.slice(at, ROWS_AT_ONCE)
+                bits = np.packbits(presence(some.column(1)), axis=1)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
 
 
 def solve(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
@@ -104,8 +108,8 @@ def _predict(model: dict):
         for batch in batches:
             for part in pieces(batch, limit=1 << 20):
                 lang, score = [], []
-                for at in range(0, part.num_rows, 512):
-                    col = part.column(1).slice(at, 512)
+                for at in range(0, part.num_rows, ROWS_AT_ONCE):
+                    col = part.column(1).slice(at, ROWS_AT_ONCE)
                     has = [bool(t) and any(map(str.isalpha, t)) for t in col.to_pylist()]
                     if not model["langs"]:
                         lang += ["und"] * len(has)
