@@ -254,6 +254,8 @@ def edges_of(words: list[str], table: PieceHash) -> pa.Array:
     owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     order = np.argsort(owners << 30 | keys >> 40 << 10 | keys >> 10 & 1023, kind="stable")
     keys, owners = keys[order], owners[order]
+    some = _possible(first[owners] + (keys >> 10 & 1023), (keys & 1023) - (keys >> 10 & 1023), len(points), len(table.by_length))
+    keys, owners = keys[some], owners[some]
     ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
     begin, end = keys >> 10 & 1023, keys & 1023
     short = sizes[owners] <= BITS
@@ -272,6 +274,39 @@ def edges_of(words: list[str], table: PieceHash) -> pa.Array:
     )
 
 
+def _possible(start: np.ndarray, size: np.ndarray, n: int, longest: int) -> np.ndarray:
+    """Places of the edges that some merge may make; the others are never open, so that no fold is changed without them.
+
+    Edges come by word, best first. A pair of characters that is better than every other edge that begins or ends
+    between them is merged before any of those, whatever comes first; and an edge needs two parts that are
+    characters or possible edges."""
+    at = np.arange(len(start))
+    while True:
+        best = np.full(n + 1, len(start))
+        for touched in (start, start + size):
+            once = np.full(n + 1, len(start))
+            once[touched[at[::-1]]] = at[::-1]  # the last one written, the best, stays
+            best = np.minimum(best, once)
+        pair = at[size[at] == 2]
+        shut = np.zeros(n + 1, bool)
+        shut[start[pair][pair < best[start[pair] + 1]] + 1] = True
+        left = at[~(shut[start[at]] | shut[start[at] + size[at]])]
+        made = np.zeros((longest + 1, n + 1), bool)
+        made[1] = True
+        by_size = left[np.argsort(size[left], kind="stable")]
+        to = np.searchsorted(size[by_size], np.arange(longest + 2))
+        for length in range(2, longest + 1):
+            begin = start[by_size[to[length] : to[length + 1]]]
+            found = np.zeros(len(begin), bool)
+            for part in range(1, length):
+                found |= made[part][begin] & made[length - part][begin + part]
+            made[length][begin[found]] = True
+        left = left[made[size[left], start[left]]]
+        if len(left) == len(at):
+            return at
+        at = left
+
+
 def _watched(keys: np.ndarray, owners: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Whether a better edge of the same word shares the start and ends later, or shares the end and starts earlier."""
     out = np.zeros(len(keys), bool)
