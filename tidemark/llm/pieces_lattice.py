@@ -116,7 +116,7 @@ def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 #: Bytes of text that are read as one block.
 BLOCK_BYTES = 1 << 18
 #: Distinct words that a task keeps encoded; beyond them it forgets all and begins anew.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
 
 #: A word as ``edges_of`` gives it: n (characters) and merges, the edges of several characters, best first: key
 #: (rank, id, start and end in 20, 20, 10 and 10 bits), span (a bit for each boundary from start to end; 0 in words
@@ -334,6 +334,7 @@ def blocks(pieces: DataFrame, first_byte: int, common: list[str], kept: int = KE
     rows = [(r.piece, r.id, r.score) for r in pieces.filter("score is not null").collect()]  # the vocabulary: tens of thousands of rows
 
     def run(batches):
+        pool = pa.default_memory_pool()  # keeps what it has freed unless told
         table = piece_hash(rows)
         ids = {p: i for p, i, _ in rows}
         ranks = {p: k for k, (p, _, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
@@ -358,6 +359,7 @@ def blocks(pieces: DataFrame, first_byte: int, common: list[str], kept: int = KE
                 columns = [words, docs]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([known], pa.int32())], ["words", "docs", "known"])
+                pool.release_unused()
 
     return run
 
@@ -403,7 +405,7 @@ def lattices(words: DataFrame, pieces: DataFrame) -> DataFrame:
 #: Rows in whose texts, and the longest text in which, common words are looked for, and how many are taken: they are
 #: encoded once and every task starts with them. A word outside them is encoded by the task that meets it, so they
 #: change no result.
-LOOKED_AT, LOOKED_AT_CHARS, COMMON = 4096, 20_000, 1 << 17
+LOOKED_AT, LOOKED_AT_CHARS, COMMON = 4096, 20_000, 1 << 16
 
 
 def common_words(docs: DataFrame, pieces: DataFrame, looked_at: int = LOOKED_AT, most: int = COMMON) -> pa.Table:
@@ -481,6 +483,7 @@ def assembler(pieces: DataFrame, common: tuple[np.ndarray, np.ndarray]):
     first_byte = next(i for i, p, score in rows if score is None and p == "<0x00>")
 
     def run(batches):
+        pool = pa.default_memory_pool()
         table = piece_hash([(p, i, score) for i, p, score in rows if score is not None])
         raw = {i: bytes([int(p[3:5], 16)]) if score is None else p.encode() for i, p, score in rows}
         spelled = [raw.get(i, b"") for i in range(max(raw) + 1)]
@@ -503,6 +506,7 @@ def assembler(pieces: DataFrame, common: tuple[np.ndarray, np.ndarray]):
                     [docs.field(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ids_to, pa.int32()), pa.array(ids, pa.int32())), pa.array(texts, pa.string())],
                     ["doc_id", "words", "ids", "decoded"],
                 )
+                pool.release_unused()
 
     return run
 
