@@ -116,7 +116,7 @@ def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 #: Bytes of text that are read as one block.
 BLOCK_BYTES = 1 << 18
 #: Distinct words that a task keeps encoded; beyond them it forgets all and begins anew.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 3 << 17
 
 #: A word as ``edges_of`` gives it: n (characters) and merges, the edges of several characters, best first: key
 #: (rank, id, start and end in 20, 20, 10 and 10 bits), span (a bit for each boundary from start to end; 0 in words
@@ -279,9 +279,9 @@ def _possible(start: np.ndarray, size: np.ndarray, n: int, longest: int) -> np.n
 
     Edges come by word, best first. A pair of characters that is better than every other edge that begins or ends
     between them is merged before any of those, whatever comes first; and an edge needs two parts that are
-    characters or possible edges."""
+    characters or possible edges. What two rounds leave is left to the fold."""
     at = np.arange(len(start))
-    while True:
+    for _ in range(2):
         best = np.full(n + 1, len(start))
         for touched in (start, start + size):
             once = np.full(n + 1, len(start))
@@ -301,10 +301,8 @@ def _possible(start: np.ndarray, size: np.ndarray, n: int, longest: int) -> np.n
             for part in range(1, length):
                 found |= made[part][begin] & made[length - part][begin + part]
             made[length][begin[found]] = True
-        left = left[made[size[left], start[left]]]
-        if len(left) == len(at):
-            return at
-        at = left
+        at = left[made[size[left], start[left]]]
+    return at
 
 
 def _watched(keys: np.ndarray, owners: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -405,7 +403,7 @@ def lattices(words: DataFrame, pieces: DataFrame) -> DataFrame:
 #: Rows in whose texts, and the longest text in which, common words are looked for, and how many are taken: they are
 #: encoded once and every task starts with them. A word outside them is encoded by the task that meets it, so they
 #: change no result.
-LOOKED_AT, LOOKED_AT_CHARS, COMMON = 4096, 20_000, 1 << 16
+LOOKED_AT, LOOKED_AT_CHARS, COMMON = 4096, 20_000, 1 << 17
 
 
 def common_words(docs: DataFrame, pieces: DataFrame, looked_at: int = LOOKED_AT, most: int = COMMON) -> pa.Table:
