@@ -116,6 +116,25 @@ def test_places_count_over_all_ranges(spark):
     assert sorted((r.status, r.place, r.key) for r in keyed.status_keys(m).collect()) == [("failed", 1, "b"), ("failed", 2, "e"), ("succeeded", 1, "a"), ("succeeded", 2, "c"), ("succeeded", 3, "d")]
 
 
+@pytest.mark.parametrize("conf", [{"spark.sql.adaptive.enabled": "false"}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}])
+def test_places_when_ranges_are_drawn_from_samples(spark, conf):
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = spark.range(0, 40000, 1, 8).select((F.col("id") * 7919 % 40009).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("other"))
+    members = rows.select(F.col("v").cast("string").alias("key"), F.when(F.col("v") % 3 == 0, "failed").otherwise("succeeded").alias("status"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted((r.place, r.v) for r in keyed.places(rows, F.col("v")).collect())
+        keys = sorted((r.status, r.place, r.key) for r in keyed.status_keys(members).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = sorted(i * 7919 % 40009 for i in range(40000))
+    assert got == list(enumerate(want, 1))
+    of = {s: sorted(str(v) for v in want if (v % 3 == 0) == (s == "failed")) for s in ("failed", "succeeded")}
+    assert keys == [(s, i, k) for s in ("failed", "succeeded") for i, k in enumerate(of[s], 1)]
+
+
 def test_errors_stay_with_their_member(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 0)], "key string, v long")
     got = {r.key: r for r in keyed.per_member(rows, lambda key, x: {"inverse": float(1 // x.v.min())}, "inverse double").collect()}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical_order
+from ..sources.scratch import Scratch
 
 #: Keying failures by precedence.
 FAILURES = ("malformed-snapshot", "key-function-failed", "missing-key", "non-string-key", "empty-key", "duplicate-key")
@@ -51,26 +52,34 @@ def status_lists(members: DataFrame) -> DataFrame:
     return members.groupBy("status").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
+def _ranges(scratch: Scratch, df: DataFrame, order: list, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows in ranges of the order, numbered by ``_part``, and for each range (and ``by``) the rows ``_before`` it.
+
+    The ranges are a table: Spark draws their bounds from samples and merges small ones, anew for each use of a plan,
+    so that rows and counts of two uses are of other ranges."""
+    ranged = scratch.table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(*by, "_part").count()  # a row for each range
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged, counts.withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+
+
 def status_keys(members: DataFrame) -> DataFrame:
     """(status, place, key): the keys of each status in canonical order, a row each; places count from 1.
 
     Ranges of keys are numbered apart and shifted by the counts of the ranges before them, so that no status is one task's."""
-    order = canonical_order(F.col("key").cast("string"))
-    ranged = members.select("status", "key").repartitionByRange("status", order).withColumn("part", F.spark_partition_id())
-    by = Window.partitionBy("status", "part")
-    counts = ranged.groupBy("status", "part").count()  # a row for each status and range
-    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("status").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return ranged.withColumn("r", F.row_number().over(by.orderBy(order))).join(before, ["status", "part"]).select("status", (F.col("r") + F.col("before")).alias("place"), "key")
+    order, scratch = canonical_order(F.col("key").cast("string")), Scratch(members.sparkSession, "status_keys")
+    ranged, before = _ranges(scratch, members.select("status", "key"), ["status", order], ["status"])
+    own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("status", "_part").orderBy(order)))
+    return scratch.only(own.join(before, ["status", "_part"]).select("status", (F.col("_r") + F.col("_before")).alias("place"), "key"), "places")
 
 
 def places(df: DataFrame, order: Column, name: str = "place") -> DataFrame:
     """The rows with their place, from 1, in one order over all of them. Ranges are numbered apart and shifted by the
     counts of those before, so that only a row for each range comes to one task. Rows of equal rank are in any order."""
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").count()
-    before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    scratch = Scratch(df.sparkSession, "places")
+    ranged, before = _ranges(scratch, df, [order], [])
     own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return own.join(before, "_part").withColumn(name, F.col("_r") + F.col("_before")).drop("_part", "_r", "_before")
+    return scratch.only(own.join(before, "_part").withColumn(name, F.col("_r") + F.col("_before")).drop("_part", "_r", "_before"), "places")
 
 
 def entries(members: DataFrame, columns: list[str]) -> DataFrame:
