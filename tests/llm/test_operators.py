@@ -590,3 +590,20 @@ def test_packed_query_holds_every_word_once_and_keeps_its_rules(spark):
     bins = [b & 0xFFFFFFFF for b in order.bin_id.astype("int64")]
     want = packing.best_fit(order.n_words.tolist(), order.doc_id.map(lambda i: words[i][1]).tolist(), order.c.tolist(), packing.ROOM)
     assert full.bin_id.astype("int64").floordiv(1 << 32).nunique() == 1 and sorted(zip(bins, order.bin_start, strict=True)) == sorted(want)
+
+
+def test_jaccard_shuffles_only_texts_that_a_pair_names(spark):
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    texts = [" ".join(hashlib.sha256(f"{d}-{i}".encode()).hexdigest() for i in range(300)) for d in range(300)]
+    rows = [*enumerate(texts), (300, texts[0] + " end"), (301, texts[7] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffled()
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {**{d: d for d in range(300)}, 300: 0, 301: 7}
+    assert shuffled() - before < sum(len(t) for t in texts) / 2

@@ -37,6 +37,8 @@ TILE = 1024
 PACK_BYTES = 1 << 24
 #: Block words that one bucket holds on average at most, 16 bytes each.
 BUCKET_WORDS = 1 << 22
+#: Bits that tell, by hash, which texts a round of checks may need; broadcast as rows of 64.
+NEED_BITS = 1 << 24
 _U = np.uint64
 
 
@@ -268,6 +270,19 @@ def _verify(width: int, num: int):
     return run
 
 
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids`` (id), and some others whose hash agrees, for a join that is exact.
+
+    Texts and sketches that no pair or run names are so hardly ever shuffled. However many ids there are, the broadcast has NEED_BITS / 64 rows at most."""
+
+    def placed(df: DataFrame, column: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(column), F.lit(NEED_BITS).cast("long"))
+        return df.withColumns({"_place": F.shiftright(at, 6), "_bit": at.bitwiseAND(63).cast("int")})
+
+    masks = placed(ids, "id").groupBy("_place").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask"))
+    return placed(docs, "doc_id").join(F.broadcast(masks), "_place").filter("getbit(_mask, _bit) = 1").select(*docs.columns)
+
+
 def _one_tile(num: int, most_each: int, t, u: int, w: int, node, label, n, sketch) -> tuple[np.ndarray, bool]:
     """Pairs of one tile across components that the sketches let pass, the nearest ``most_each`` of each component, and whether more are left."""
     size = min(map(len, sketch))
@@ -401,9 +416,12 @@ def _components(scratch: Scratch, docs: DataFrame, width: int, percent: int) ->
     passed = pairs.select("x", "y").join(sx, "x").join(sy, "y").mapInArrow(_sketch_filter(percent), "x long, y long").distinct()
     tried = scratch.table(passed, "tried-0")
 
-    tx = docs.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    ty = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-    check = lambda p: p.join(ty, "y").join(tx, "x").mapInArrow(_verify(width, percent), "x long, y long").distinct()
+    def check(p: DataFrame) -> DataFrame:
+        some = _needed(docs, p.select(F.explode(F.array("x", "y")).alias("id")))
+        tx = some.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
+        ty = some.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
+        return p.join(ty, "y").join(tx, "x").mapInArrow(_verify(width, percent), "x long, y long").distinct()
+
     links = scratch.table(check(tried), "links-0")
     labels = connected_labels(scratch, links, "cc-0")
 
@@ -421,7 +439,7 @@ def _components(scratch: Scratch, docs: DataFrame, width: int, percent: int) ->
             now.join(mixed, "run").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
             .select("run", "node", "label", "n", "t", F.least("t", "o").alias("u"), F.greatest("t", "o").alias("w"))
-            .join(sets.select(F.col("doc_id").alias("node"), "sketch"), "node")
+            .join(_needed(sets.select("doc_id", "sketch"), members.select(F.col("node").alias("id"))).withColumnRenamed("doc_id", "node"), "node")
             .repartition("run", "u", "w").sortWithinPartitions("run", "u", "w")
         )
         got = scratch.table(tile.mapInArrow(_tile_pairs(percent, each), "x long, y long").distinct(), f"tiles-{step}")
