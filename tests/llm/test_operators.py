@@ -4,7 +4,10 @@ import hashlib
 import html as entities
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -12,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, jaccard, language, licences, neighbours, packing, pieces_lattice, queries, secrets, telephony, toxicity
+from tidemark.llm import common, html, jaccard, language, licences, neighbours, packing, pieces_lattice, queries, secrets, telephony, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = "doc_id long, text string, lang string, source string, n_chars long, label string, score double, rank int, node long, run long"
@@ -607,3 +610,61 @@ def test_jaccard_shuffles_only_texts_that_a_pair_names(spark):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
     assert got == {**{d: d for d in range(300)}, 300: 0, 301: 7}
     assert shuffled() - before < sum(len(t) for t in texts) / 2
+
+
+def test_pipeline_stages_hold_small_batches_and_shrink_the_heap(spark, tmp_path):
+    """A task's input isn't one Arrow batch, and each stage begins with a full collection of the executors' garbage."""
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    had = {k: spark.conf.get(k) for k in keys}
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    base = spark.read.parquet(f"{SF}/documents.parquet").schema
+    row = F.struct(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 2000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(22000).cast("long").alias("n_chars"))
+    spark.range(0, 300, 1, 1).select(row.alias("r")).select(*(F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in base)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            for k, v in zip(keys, ("64m", "4096"), strict=True):
+                spark.conf.set(k, v)
+            before = collections()
+            stage(spark, docs, str(tmp_path))
+            assert collections() > before
+            seen = docs.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in seen) == 300 and max(r.bytes for r in seen) < common.BATCH_BYTES + 100_000
+            assert int(spark.conf.get(keys[1])) == common.COLUMN_ROWS
+        for k, v in zip(keys, ("100k", "7"), strict=True):
+            spark.conf.set(k, v)
+        common.small_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["100k", "7"]  # a session's own smaller limits stay
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+
+
+def test_ended_bodies_give_memory_back():
+    code = """
+import re, sys
+import numpy as np
+from tidemark.llm import common
+kept = []
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+def body(batches):
+    some = [np.ones(10_000) for _ in range(2000)]
+    kept.append(np.ones(10_000))  # above all others, so that the heap can't just end sooner
+    yield from batches
+before = held()
+list(body([])); plain = held() - before
+list(common.freed(body)([])); print(plain, held() - before)
+"""
+    plain, freed = map(int, subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout.split())
+    assert plain > 100 > 30 > freed

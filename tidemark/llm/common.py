@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step holds at a time (temporaries take some 40 times that).
 CHUNK_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at a time. At its own 64 MB a task's whole input is one batch, which the
+#: JVM holds in buffers of up to twice that, kept for reuse, and the worker holds beside what it makes of it.
+BATCH_BYTES = 1 << 21
+#: Rows that Spark decodes of a Parquet file at a time; a text column of its own 4096 is one array of several MB.
+COLUMN_ROWS = 512
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -23,6 +31,41 @@ def text_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES (a longer row goes alone) and what is decoded of Parquet at a time to
+    COLUMN_ROWS, or to the session's own limits where those are less."""
+    arrow, parquet = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(arrow)) > BATCH_BYTES:
+        spark.conf.set(arrow, f"{BATCH_BYTES}b")
+    if int(spark.conf.get(parquet)) > COLUMN_ROWS:
+        spark.conf.set(parquet, str(COLUMN_ROWS))
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage, one task each, and with it give back the room it took; they else let the
+    heap grow to its limit, however little of it is in use."""
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is counted
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed; workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freed(body: Callable) -> Callable:
+    """A mapInArrow body that gives memory back once it has ended."""
+
+    @wraps(body)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from body(batches)
+        give_back()
+
+    return run
+
+
 def one_row_each(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (keys, text) of some keys, one row each: of several texts the one with the least digest.
 

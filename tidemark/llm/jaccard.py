@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, pieces, text_docs
+from .common import Scratch, freed, mix64, pieces, shrink_heaps, text_docs
 from .shingles import shingle_sets
 
 #: All pairs of a bucket up to this size are made at once; larger ones start as a star.
@@ -123,6 +123,7 @@ def _set_keys(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets_of(width: int):
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
@@ -165,6 +166,7 @@ def _packed_words(width: int, num: int, parts: int):
             data.append(head.tobytes() + keys[own].tobytes() + count.astype(np.uint32).tobytes() + np.ascontiguousarray(short).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], names=["part", "packed"])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs, held = [], 0
         for batch in batches:
@@ -188,6 +190,7 @@ def _runs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(word)]]))
 
 
+@freed
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of set keys (kind 0), and the members of large buckets (kind 1)."""
     words, keys = [], []
@@ -239,6 +242,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _sketch_filter(num: int):
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
@@ -253,6 +257,7 @@ def _sketch_filter(num: int):
 def _verify(width: int, num: int):
     """Keeps the pairs whose whole texts have 100*intersection >= num*union."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "ty", 1 << 20):
@@ -330,6 +335,7 @@ def _tile_pairs(num: int, most_each: int):
         x = pa.array(np.concatenate([xy[:, 0], np.zeros(len(runs), np.int64)]), mask=np.arange(len(xy) + len(runs)) >= len(xy))
         return pa.RecordBatch.from_arrays([x, pa.array(np.concatenate([xy[:, 1], runs]))], names=["x", "y"])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, pairs, held = None, [], []
         for batch in batches:
@@ -403,6 +409,7 @@ def _components(scratch: Scratch, docs: DataFrame, width: int, percent: int) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * words // (3 * BUCKET_WORDS)))
     packed = docs.mapInArrow(_packed_words(width, percent, parts), "part int, packed binary")
     found = scratch.table(packed.repartitionById(parts, F.col("part")).mapInArrow(_bucket_pairs, "kind int, a long, b long"), "found")
+    shrink_heaps(spark)
 
     na = nodes.select(F.col("k1").alias("a"), F.col("node").alias("p"), F.col("n").alias("np"))
     nb = nodes.select(F.col("k1").alias("b"), F.col("node").alias("q"), F.col("n").alias("nq"))
@@ -432,6 +439,7 @@ def _components(scratch: Scratch, docs: DataFrame, width: int, percent: int) ->
     step, each = 0, 2
     while True:
         step += 1
+        shrink_heaps(spark)
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = now.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("run")
         tiles = F.ceil(F.col("m") / TILE).cast("int")

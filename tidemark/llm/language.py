@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_mod, mix64, one_row_each, pieces, text_docs
+from .common import fold_mod, freed, mix64, one_row_each, pieces, text_docs
 
 #: Rows of each language to learn from at most, languages to learn at most (those with most rows), and landmarks in all.
 ROWS_EACH, LANGUAGES, LANDMARKS = 600, 128, 256
@@ -55,6 +55,7 @@ def presence(col: pa.Array) -> np.ndarray:
     return out
 
 
+@freed
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, limit=1 << 20):
@@ -146,6 +147,7 @@ def keep_known(model: dict, least: float = LEAST_SCORE):
     """A mapInArrow body that keeps whole rows whose language can be told."""
     predict_rows = _predict(model)
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             two = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(batch.schema.get_field_index("text"))], names=["doc_id", "text"])

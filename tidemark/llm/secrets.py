@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_docs
+from .common import freed, text_docs
 
 #: (kind, expression, least length of the span, least length of an assigned value). The first
 #: three are the base kinds. Counted minima inside an unanchored rule multiply states, so all
@@ -326,6 +326,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``text`` replaced; all columns stay."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index("text")

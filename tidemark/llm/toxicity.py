@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, fold_mod, one_row_each, pieces, text_docs, utf8
+from .common import SpanHasher, fold_mod, freed, one_row_each, pieces, text_docs, utf8
 
 #: Labelled rows to learn from at most, those with the smallest digest of their id.
 SAMPLE_ROWS = 20_000
@@ -91,6 +91,7 @@ def _identity_buckets(groups) -> np.ndarray:
     return np.unique(features(pa.array(terms))[1]) if terms else np.zeros(0, np.int64)
 
 
+@freed
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each feature: texts of label 1 and of label 0 that have it."""
     pos, neg = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -118,6 +119,7 @@ def _kept_features(kept: np.ndarray, groups):
         cut = np.searchsorted(seen // len(kept), np.arange(len(col) + 1))
         return [(seen[s:e] % len(kept)).astype(np.int32).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
@@ -217,6 +219,7 @@ def keep_below(model: dict, limit: float):
     """A mapInArrow body that keeps whole rows whose score is under the limit."""
     score = _scores({k: model[k] for k in ("kept", "w", "b")})
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             two = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(batch.schema.get_field_index("text"))], names=["doc_id", "text"])
