@@ -33,6 +33,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _lean(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold_mod("doc_id", 5) != 0)
     model = toxicity.train(docs, labels)
+    shrink_heaps(spark)
     return docs.mapInArrow(toxicity.keep_below(model, TOXIC), docs.schema)
 
 
@@ -41,6 +42,7 @@ def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     that repeats is learned once; without any row to learn from all go."""
     _lean(spark)
     model = language.train(docs.filter(fold_mod("doc_id", 4) != 2))
+    shrink_heaps(spark)
     return docs.mapInArrow(language.keep_known(model), docs.schema)
 
 

@@ -632,12 +632,12 @@ def test_pipeline_stages_hold_small_batches_and_shrink_the_heap(spark, tmp_path)
     spark.range(0, 300, 1, 1).select(row.alias("r")).select(*(F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in base)).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     try:
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             for k, v in zip(keys, ("64m", "4096"), strict=True):
                 spark.conf.set(k, v)
             before = collections()
             stage(spark, docs, str(tmp_path))
-            assert collections() > before
+            assert collections() - before >= (2 if name in ("toxicity", "language") else 1)  # once more when a model has been learned
             seen = docs.mapInArrow(sizes, "n long, bytes long").collect()
             assert sum(r.n for r in seen) == 300 and max(r.bytes for r in seen) < common.BATCH_BYTES + 100_000
             assert int(spark.conf.get(keys[1])) == common.COLUMN_ROWS

@@ -422,6 +422,7 @@ def _components(scratch: Scratch, docs: DataFrame, width: int, percent: int) ->
     sy = sets.select(F.col("doc_id").alias("y"), F.col("sketch").alias("sy"), F.col("n_shingles").alias("ny"))
     passed = pairs.select("x", "y").join(sx, "x").join(sy, "y").mapInArrow(_sketch_filter(percent), "x long, y long").distinct()
     tried = scratch.table(passed, "tried-0")
+    shrink_heaps(spark)
 
     def check(p: DataFrame) -> DataFrame:
         some = _needed(docs, p.select(F.explode(F.array("x", "y")).alias("id")))
